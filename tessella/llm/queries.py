@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.exact_dedup import exact_dedup
+from tessella.llm.langid import language_id
+from tessella.llm.mixing import mix
 from tessella.llm.packing import packed
 from tessella.llm.simhash import simhash_dedup
 from tessella.llm.tokens import token_counts
@@ -23,15 +25,23 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).drop("pieces")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op3_token_counts, op7_packing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op3_token_counts, op4_mixing, op7_packing, op8_language_id, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op10_exact_dedup": r"""
