@@ -5,10 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.llm.embeddings import embedding_dedup
 from tessella.llm.exact_dedup import exact_dedup
 from tessella.llm.langid import language_id
 from tessella.llm.mixing import mix
 from tessella.llm.packing import packed
+from tessella.llm.secrets import find_secrets
 from tessella.llm.simhash import simhash_dedup
 from tessella.llm.tokens import token_counts
 
@@ -29,6 +31,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("pieces")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -37,13 +43,26 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op3_token_counts, op4_mixing, op7_packing, op8_language_id, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op3_token_counts, op4_mixing, op5_secrets, op7_packing, op8_language_id, op9_embedding_dedup, op10_exact_dedup)}
 
 ORACLE_SQL = {
+    "op9_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+        links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+                  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+        reach AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+        SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.x = v.vec_id) AS n_links,
+               (SELECT min(y) FROM reach r WHERE r.x = v.vec_id) AS component_id,
+               v.vec_id = (SELECT min(y) FROM reach r WHERE r.x = v.vec_id) AS kept
+        FROM v""",
     "op10_exact_dedup": r"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents)
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
