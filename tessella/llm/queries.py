@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessella.llm.embeddings import embedding_dedup
 from tessella.llm.exact_dedup import exact_dedup
 from tessella.llm.langid import language_id
+from tessella.llm.lines import line_dedup
 from tessella.llm.mixing import mix
 from tessella.llm.packing import packed
 from tessella.llm.secrets import find_secrets
@@ -35,6 +36,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -51,9 +56,27 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op3_token_counts, op4_mixing, op5_secrets, op7_packing, op8_language_id, op9_embedding_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op3_token_counts, op4_mixing, op5_secrets, op6_line_dedup, op7_packing, op8_language_id, op9_embedding_dedup, op10_exact_dedup)}
 
 ORACLE_SQL = {
+    "op6_line_dedup": r"""
+        WITH raw AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        l AS (SELECT doc_id, i - 1 AS line_no, trim(ls[i], chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) AS line
+              FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM raw)),
+        w AS (SELECT *, CASE WHEN line = '' THEN [] ELSE string_split_regex(line, '[\x20\x09-\x0D]+') END AS words,
+                     row_number() OVER (ORDER BY doc_id, line_no) AS pos FROM l),
+        d AS (SELECT line, words, min(pos) AS first FROM w WHERE len(words) >= 5 GROUP BY ALL),
+        v AS (SELECT line, words, first, i, CASE WHEN i = 0 THEN words ELSE list_concat(words[1:i - 1], words[i + 1:]) END AS rest
+              FROM (SELECT *, unnest(range(0, len(words) + 1)) AS i FROM d)),
+        sub AS (SELECT line, first > min(first) OVER (PARTITION BY rest, i) AS gone FROM v),
+        ins AS (SELECT line, first > coalesce(CASE WHEN i = 0 THEN min(first) FILTER (i > 0) OVER g ELSE min(first) FILTER (i = 0) OVER g END, first) AS gone
+                FROM v WINDOW g AS (PARTITION BY rest)),
+        near AS (SELECT DISTINCT line FROM (SELECT * FROM sub UNION ALL SELECT * FROM ins) WHERE gone),
+        j AS (SELECT w.doc_id, w.line_no, coalesce(w.pos > d.first, false) AS exact, coalesce(w.pos = d.first AND near.line IS NOT NULL, false) AS near
+              FROM w LEFT JOIN d ON w.line = d.line LEFT JOIN near ON w.line = near.line)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (exact) AS n_exact, count(*) FILTER (near) AS n_near,
+               coalesce(string_agg(line_no::VARCHAR, ',' ORDER BY line_no) FILTER (exact OR near), '') AS dropped
+        FROM j GROUP BY doc_id""",
     "op9_embedding_dedup": """
         WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
         links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
