@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessella.llm.embeddings import embedding_dedup
 from tessella.llm.exact_dedup import exact_dedup
 from tessella.llm.langid import language_id
+from tessella.llm.licenses import license_scan
 from tessella.llm.lines import line_dedup
 from tessella.llm.mixing import mix
 from tessella.llm.packing import packed
@@ -20,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op3_token_counts, op4_mixing, op5_secrets, op6_line_dedup, op7_packing, op8_language_id, op9_embedding_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash_dedup, op3_token_counts, op4_mixing, op5_secrets, op6_line_dedup, op7_packing, op8_language_id, op9_embedding_dedup, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op6_line_dedup": r"""
