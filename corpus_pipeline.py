@@ -1,10 +1,64 @@
-"""The corpus pipeline: documents go through STAGES one after the other."""
+"""The corpus pipeline: documents go through STAGES one after the other.
+
+Each stage works on all that the one before kept. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.llm.common import with_row_key, written
+from tessella.llm.exact_dedup import exact_dedup
+from tessella.llm.langid import train, with_known_language
+from tessella.llm.mixing import mix, mixed_documents
+from tessella.llm.packing import packed
+from tessella.llm.simhash import simhash_dedup
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go whose text is null, has no letter or has no language that the classifier is at all sure of."""
+    return with_known_language(docs, train(docs))
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal but for white space, the longest stays."""
+    rows = with_row_key(docs, "_row")
+    dropped = exact_dedup(rows, carry=["_row"]).where("not kept").select(F.col("_row").alias("_gone"))
+    return rows.join(dropped, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose fingerprints are linked, the one of the smallest id stays; of equal or null ids the first stored."""
+    rows = with_row_key(docs, "_row")
+    told = written(simhash_dedup(rows, carry=["_row"]).select("doc_id", "_row", "component"), "groups")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("best")
+    kept = told.groupBy("component").agg(best).select(F.col("best._row").alias("_kept"))
+    return rows.join(kept, F.col("_row") == F.col("_kept"), "left_semi").drop("_row")
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources by their target weights: a row for each pass in which a document is drawn, with the words drawn as text."""
+    rows = with_row_key(docs, "_row")
+    drawn = mixed_documents(rows, written(mix(rows, carry=["_row"]).select("_row", "size", "pieces"), "mix"), "_row")
+    n_chars = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return drawn.withColumns(n_chars).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 tokens; a row for each piece."""
+    return packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+
 
-STAGES: list = []
+STAGES = [
+    ("language ID", language_id),
+    ("exact dedup", exact_duplicates),
+    ("SimHash near-dedup", near_duplicates),
+    ("mixing to target weights", source_mix),
+    ("packing", packing),
+]
+#: Fingerprints, a classifier and tokenizers are beyond SQL; tests/llm/test_pipeline.py has the brute-force version.
 ORACLE_SQL = None
 
 

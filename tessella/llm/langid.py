@@ -141,6 +141,26 @@ def identify(docs: DataFrame, model: Classifier | None, id_col: str = "doc_id",
     return plain.mapInArrow(run, out)
 
 
+def with_known_language(docs: DataFrame, model: Classifier | None, least: float = 0.2, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text has a language: not `und`, and predicted with a score of `least` or more.
+
+    Without a model, which means without any labelled text, only texts without letters go.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        model = shared.value
+        for b in batches:
+            texts = b.column(text_col).to_pylist()
+            if model:
+                good = [n != "und" and s >= least for n, s in zip(*model.predict(texts), strict=True)]
+            else:
+                good = [bool(t and LETTER.search(t)) for t in texts]
+            yield b.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **sizes) -> DataFrame:
     """One row per document: id, held_out, lang_pred, score; learned from docs' own labels outside the held-out fold."""
     plain = docs.select(id_col, text_col, lang_col)

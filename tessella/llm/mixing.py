@@ -162,6 +162,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
 
 
+def mixed_documents(docs: DataFrame, mixed: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """docs once for each pass in which the mix takes words of them, with the words of that pass as text.
+
+    mixed: the mix of docs by the unique column `key`. A document taken whole keeps its text as it is; of others the
+    words drawn keep the white space before them.
+    """
+    taken = mixed.select(F.col(key).alias("_key"), F.col("size").alias("_size"), F.expr("transform(array_distinct(pieces.pass), e -> filter(pieces, p -> p.pass = e))").alias("_passes"))
+    rows = docs.join(taken, F.col(key) == F.col("_key")).withColumn("_pieces", F.explode("_passes"))
+    words = F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", -1)
+    cut = F.array_join(F.flatten(F.transform("_pieces", lambda p: F.slice(words, (p["first"] + 1).cast("int"), p["words"].cast("int")))), "")
+    whole = F.aggregate("_pieces", F.lit(0).cast("long"), lambda t, p: t + p["words"]) == F.col("_size")
+    return rows.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(cut)).drop("_key", "_size", "_passes", "_pieces")
+
+
 def shards(mixed: DataFrame, id_col: str = "doc_id", seed: int = 42) -> DataFrame:
     """The pieces of a mix by shard, each shard in its own pseudo-random order: shard, id, pass, first, words."""
     rows = mixed.select(id_col, F.explode("pieces").alias("p")).select("p.shard", id_col, "p.pass", "p.first", "p.words")

@@ -26,7 +26,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_dedup(table(spark, sf_dir, "documents"))
+    return simhash_dedup(table(spark, sf_dir, "documents")).drop("component")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

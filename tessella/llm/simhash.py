@@ -222,12 +222,13 @@ def hamming_links(fps: DataFrame, errors: int = 3, least_split: int = 2048) -> D
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, shingle: int = 3, errors: int = 3) -> DataFrame:
-    """One row per document: id, the carried columns, fingerprint (16 hex digits), component_id.
+    """One row per document: id, the carried columns, fingerprint (16 hex digits), component_id, component.
 
     Words are cut at ASCII white space after lower-casing A-Z; shingles of `shingle` words are hashed with XXH64. A text
     with fewer words is one shingle, a null, empty or blank one has fingerprint zero, which links like any other.
     Fingerprints at `errors` or fewer differing bits are linked; component_id is the smallest id that links reach, the
-    document's own included. Null ids never count as smallest; a component of null ids only has a null component_id.
+    document's own included. Null ids never count as smallest; a component of null ids only has a null component_id, so
+    that `component` is what tells components apart.
     Repeated rows are told one by one. An empty table gives no rows; extra columns of docs do not matter.
     """
     carry = carry or []
@@ -241,6 +242,6 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", F.xxhash64("fp")).alias("root")), "rooted"
     )
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "_root")
-    named = written(rooted.join(written(least, "least"), F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id"), "named")
+    named = written(rooted.join(written(least, "least"), F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id", F.col("root").alias("component")), "named")
     names = [F.col(h).alias(c) for c, h in zip([id_col, *carry], held, strict=True)]
-    return rows.join(named, F.col("fp") == F.col("_fp")).select(*names, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(named, F.col("fp") == F.col("_fp")).select(*names, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component")
