@@ -21,14 +21,14 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessella.llm.common import bounded_broadcast, kept_fields, schema, written
-from tessella.llm.tokens import WordIds
+from tessella.llm.tokens import WordIds, shared
 
 
 def _encode(tokenizer: str, n: int, names: list[str], end_id: int, memo: int):
     """Token ids per document, with their place in the part of the source's queue that this partition fills."""
 
     def run(batches):
-        part, encoder, filled = TaskContext.get().partitionId(), WordIds(tokenizer, 200, memo), {}
+        part, encoder, filled = TaskContext.get().partitionId(), shared(WordIds, tokenizer, 200, memo), {}
         end = np.uint32(end_id).tobytes()
         for b in batches:
             texts = b.column("_text").cast(pa.binary()).to_pylist()
@@ -89,7 +89,7 @@ def _pieces(totals: dict, window: int, length: int, n: int, names: list[str]):
     return run
 
 
-def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: list[str] | None = None, length: int = 2048, end_id: int = 1, window_sequences: int = 64, most_sources: int = 10_000, memo: int = 150_000) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: list[str] | None = None, length: int = 2048, end_id: int = 1, window_sequences: int = 64, most_sources: int = 10_000, memo: int = 400_000) -> DataFrame:
     """One row per piece: id, the carried columns, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its token ids and then end_id; a null or empty text is end_id alone. Sequences are `length` tokens,

@@ -23,23 +23,34 @@ _UNSAFE = re.compile(r"\s | \s|^ | $")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
-class Memo(dict):
+#: White space before these, after a letter, changes no cut of the word-level tokenizer.
+_MARK = re.compile(rb"(?<=[A-Za-z])(?=[,.!])")
+_SHARED: dict[tuple, object] = {}
+
+
+class Memo:
     """A part's value, for the parts of late; the older half is forgotten when both halves are full."""
 
     def __init__(self, half: int) -> None:
-        super().__init__()
-        self.half, self.old = half, {}
+        self.half, self.new, self.old = half, {}, {}
 
-    def known(self, part):
-        """The value or None; a value found among the old ones stays longer."""
-        if (x := self.get(part)) is None and (x := self.old.get(part)) is not None:
-            self[part] = x
-        return x
+    def missing(self, parts: set) -> list:
+        """Those of the parts whose value is not known; old values in use stay longer."""
+        old = self.old
+        rest = parts.difference(self.new)  # of a plain dict: a look-up for each part
+        self.new.update((p, old[p]) for p in rest if p in old)
+        return [p for p in rest if p not in old]
 
     def trim(self) -> None:
-        if len(self) > self.half:
-            self.old = dict(self)
-            self.clear()
+        if len(self.new) > self.half:
+            self.old, self.new = self.new, {}
+
+
+def shared(kind: type, *args):
+    """The kind's object for these arguments; a worker process keeps it, with what it remembers, from task to task."""
+    if (key := (kind, *args)) not in _SHARED:
+        _SHARED[key] = kind(*args)
+    return _SHARED[key]
 
 
 def load(path: str):
@@ -68,16 +79,18 @@ def byte_batches(parts, most: int):
         yield held
 
 
-def safe_parts(text: str) -> list[str]:
-    """Parts that a byte-level BPE with the common pattern ` ?letters| ?digits| ?others|space` never merges across.
+def safe_parts(text: str) -> tuple[str, list[str]]:
+    """The first part of a text, and those that a space goes before, which is left out.
 
-    The only cut is before a single space between two characters that are no white space: every alternative of the
+    A byte-level BPE with the common pattern ` ?letters| ?digits| ?others|space` never merges across these parts: the
+    only cut is before a single space between two characters that are no white space, and every alternative of the
     pattern that holds such a space begins with it.
     """
     if _UNSAFE.search(text):
-        return _CUT.split(text)
+        first, *rest = _CUT.split(text)
+        return first, [x[1:] for x in rest]
     first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
+    return first, rest
 
 
 class Counter:
@@ -94,17 +107,17 @@ class Counter:
         if not self.splits:
             return [n for b in byte_batches(texts, self.most) for n in self.encode(b)]
         memo, out = self.memo, []
-        for group in byte_batches(texts, self.most):
-            cut = [safe_parts(t) if t else [] for t in group]
-            fresh = {p for parts in cut for p in parts if memo.known(p) is None}
-            for b in byte_batches(fresh, self.most):
-                memo.update(zip(b, self.encode(b), strict=True))
-            out += [sum(map(memo.__getitem__, parts)) for parts in cut]
+        for group in byte_batches(texts, 4 * self.most):
+            cut = [safe_parts(t) for t in group]
+            for b in byte_batches(memo.missing(set().union(*[parts for _, parts in cut])), self.most):
+                memo.new.update(zip(b, self.encode([" " + x for x in b]), strict=True))
+            first = [n for b in byte_batches([f for f, _ in cut], self.most) for n in self.encode(b)]
+            out += [n + sum(map(memo.new.__getitem__, parts)) for n, (_, parts) in zip(first, cut, strict=True)]
             memo.trim()
         return out
 
 
-def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, batch_bytes: int = 1 << 18, memo: int = 150_000) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, batch_bytes: int = 1 << 18, memo: int = 500_000) -> DataFrame:
     """One row per document: id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
     Counts are those of the tokenizer's library for the whole text, without added special tokens; special strings
@@ -114,7 +127,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """
 
     def run(batches):
-        counter = Counter(tokenizer, batch_bytes, memo)
+        counter = shared(Counter, tokenizer, batch_bytes, memo)
         for b in batches:
             text = b.column("_text")
             size = pa.compute.fill_null(pa.compute.binary_length(text), 0).cast(pa.int64())
@@ -148,19 +161,22 @@ class WordIds:
             ids = np.array(e.ids, np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(group) and cuts[-1] == len(ids):
-                self.memo.update(zip(group, (x.tobytes() for x in np.split(ids, cuts[:-1])), strict=True))
+                self.memo.new.update(zip(group, (x.tobytes() for x in np.split(ids, cuts[:-1])), strict=True))
             else:  # lower-casing or composing left something that is no letter
                 rest += group
         for w, e in zip(rest, encode([w.decode() for w in rest], add_special_tokens=False), strict=True):
-            self.memo[w] = np.array(e.ids, np.uint32).tobytes()
+            self.memo.new[w] = np.array(e.ids, np.uint32).tobytes()
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text. Cuts are at ASCII white space, which the tokenizer drops."""
+        """Little-endian 32-bit ids of each text.
+
+        Cuts are at ASCII white space, which the tokenizer drops, and between a letter and a comma, full stop or
+        exclamation mark. As it lower-cases all, A-Z are folded first, but for what may be a special token.
+        """
         memo, out = self.memo, []
         for group in byte_batches(texts, 1 << 20):
-            cut = [t.split() for t in group]
-            fresh = {w for words in cut for w in words if memo.known(w) is None}
-            self.learn(list(fresh))
-            out += [b"".join(map(memo.__getitem__, words)) for words in cut]
+            cut = [_MARK.sub(b" ", t if b"<|" in t else t.lower()).split() for t in group]
+            self.learn(memo.missing(set().union(*cut)))
+            out += [b"".join(map(memo.new.__getitem__, words)) for words in cut]
             memo.trim()
         return out
