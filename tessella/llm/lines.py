@@ -13,30 +13,36 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import with_row_key, written
 
-SPACE = r"[\x20\x09-\x0D]+"
 TRIM = " \t\r\x0b\x0c"
+#: White space that is no single space.
+ODD_SPACE = r"[\x09-\x0D]|\x20[\x20\x09-\x0D]"
 
 
-def _words(line: Column) -> Column:
-    return F.split(line, SPACE)  # of a trimmed line that is not empty
+def _head(line: Column, n: Column) -> Column:
+    """The first n words, or last -n ones, of a line whose words have single spaces between them."""
+    return F.call_function("substring_index", line, F.lit(" "), n)
 
 
-def _half_keys(words: Column, n: Column) -> Column:
+def _half_keys(line: Column, n: Column) -> Column:
     """Hashes of beginnings and ends of which near lines share one.
 
     One edit leaves a common beginning and a common end which together have all words but the edited one. Of lines of m
-    and m or m + 1 words, one of both is therefore as long as half of what is common, rounded up.
+    and m or m + 1 words, one of both is therefore as long as half of what is common, rounded up. The lowest bit of a
+    key tells whether it is of a beginning (0) or an end (1).
     """
     halves = (F.ceil((n - 1) / 2).cast("int"), F.ceil(n / 2).cast("int"))
-    ends = [F.xxhash64(F.lit(i), h, F.slice(words, F.lit(1) if i == 0 else n - h + 1, h)) for h in halves for i in (0, 1)]
+    ends = [F.shiftleft(F.xxhash64(h, _head(line, h if i == 0 else -h)), 1).bitwiseOR(F.lit(i)) for h in halves for i in (0, 1)]
     return F.array_distinct(F.array(*ends))
 
 
-def _lines(docs: DataFrame, text_col: str) -> DataFrame:
-    """All lines: row key f, p, line_no, trimmed line, its 128-bit hash."""
+def _lines(docs: DataFrame, text_col: str, least_words: int) -> DataFrame:
+    """Lines of least_words words and more: row key f, p, line_no, line with single spaces, number of words, 128-bit hash."""
     parts = F.posexplode(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n", -1)).alias("line_no", "raw")
-    line = F.btrim("raw", F.lit(TRIM))
-    return docs.select("_id", "f", "p", parts).select("_id", "f", "p", "line_no", line.alias("line")).select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
+    trimmed = docs.select("_id", "f", "p", parts).withColumn("raw", F.btrim("raw", F.lit(TRIM)))
+    single = F.when(F.regexp_like("raw", F.lit(ODD_SPACE)), F.regexp_replace("raw", r"[\x20\x09-\x0D]+", " ")).otherwise(F.col("raw"))
+    lines = trimmed.select("_id", "f", "p", "line_no", single.alias("line"))
+    n = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
+    return lines.withColumn("n", n).where(F.col("n") >= least_words).select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
 
 
 def _may_be_in(wanted: DataFrame, words: int = 1 << 17) -> Column:
@@ -52,33 +58,40 @@ def _may_be_in(wanted: DataFrame, words: int = 1 << 17) -> Column:
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 5) -> DataFrame:
     """One row per document: id, n_lines, n_exact, n_near, dropped (line numbers from 0, comma-joined).
 
-    Lines are what "\\n" separates, trimmed; only lines of least_words words and more are ever dropped. Lines come in
-    order of id (null last), stored row and line number. A line goes as exact if an earlier line is the same; of
-    different lines, one goes as near, with all its copies, if a line whose first copy is earlier is within one
-    inserted, deleted or replaced word of it. A null or empty text is one empty line. Repeated rows are told one by
-    one: the second loses all its longer lines. An empty table gives no rows.
+    Lines are what "\\n" separates; only lines of least_words words and more are ever dropped, and white space tells no
+    lines apart. Lines come in order of id (null last), stored row and line number. A line goes as exact if an earlier
+    line is the same; of different lines, one goes as near, with all its copies, if a line whose first copy is earlier
+    is within one inserted, deleted or replaced word of it. A null or empty text is one empty line. Repeated rows are
+    told one by one: the second loses all its longer lines. An empty table gives no rows.
     """
     rows = with_row_key(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))).select("_id", "_text", F.col("_row.file").alias("f"), F.col("_row.pos").alias("p"))
-    lines = _lines(rows, "_text")
-    words = _words(F.col("line"))
-    n = F.when(F.col("line") == "", 0).otherwise(F.size(words))
+    lines = _lines(rows, "_text", least_words)
     first = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), "f", "p", "line_no")
-    told = lines.select("_id", "f", "p", "line_no", "h1", "h2", n.alias("n"), F.when(n >= least_words, _half_keys(words, n)).alias("keys"))
-    told = written(told, "lines")
-    distinct = told.where(F.col("n") >= least_words).groupBy("h1", "h2").agg(F.min(first).alias("first"), F.any_value("keys").alias("keys"))
+    told = written(lines.select("_id", "f", "p", "line_no", "h1", "h2", _half_keys(F.col("line"), F.col("n")).alias("keys")), "lines")
+    distinct = told.groupBy("h1", "h2").agg(F.min(first).alias("first"), F.count("*").alias("copies"), F.any_value("keys").alias("keys"))
     distinct = written(distinct, "distinct")
+    # only lines that share a half with another one can have near lines; the side they share tells where the edit is not
     keys = distinct.select("h1", "h2", F.explode("keys").alias("k"))
     live = written(keys.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select(F.col("k").alias("live")), "live")
-    wanted = written(keys.join(live, F.col("k") == F.col("live")).select("h1", "h2").distinct(), "wanted")
-    # the words of those lines, read again; a line is told once, by its first copy
-    again = lines.where(_may_be_in(wanted)).select("h1", "h2", F.col("f").alias("f1"), F.col("p").alias("p1"), F.col("line_no").alias("l1"), "line")
-    chosen = distinct.join(wanted, ["h1", "h2"]).select(F.col("h1").alias("w1"), F.col("h2").alias("w2"), "first")
+    side = F.col("k").bitwiseAND(F.lit(1)) == 1
+    wanted = keys.join(live, F.col("k") == F.col("live")).groupBy("h1", "h2").agg(F.bool_or(~side).alias("heads"), F.bool_or(side).alias("tails"))
+    wanted = written(wanted.join(distinct.select("h1", "h2", "first"), ["h1", "h2"]), "wanted")
+    # the texts of those lines, read again; a line is told once, by its first copy
+    again = lines.where(_may_be_in(wanted)).select("h1", "h2", F.col("f").alias("f1"), F.col("p").alias("p1"), F.col("line_no").alias("l1"), "line", "n")
+    chosen = wanted.withColumnsRenamed({"h1": "w1", "h2": "w2"})
     here = (F.col("f1") == F.col("first.f")) & (F.col("p1") == F.col("first.p")) & (F.col("l1") == F.col("first.line_no")) & (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2"))
-    near = written(again.join(chosen, here).select("h1", "h2", "first", words.alias("words")), "near")
+    near = written(again.join(chosen, here).select("h1", "h2", "first", "heads", "tails", "line", "n"), "near")
     # a variant of position 0 is the line itself, of position i the line without its i-th word
-    n = F.size("words")
-    variant = F.explode(F.expr("transform(sequence(0, size(words)), i -> struct(i AS i, xxhash64(IF(i = 0, words, concat(slice(words, 1, greatest(i - 1, 0)), slice(words, i + 1, size(words))))) AS v))"))
-    variants = written(near.select("h1", "h2", "first", n.alias("n"), variant.alias("x")).select("h1", "h2", "first", "n", "x.i", "x.v"), "variants")
+    half = F.floor(F.col("n") / 2).cast("int")
+    places = F.sequence(F.lit(0), F.col("n"))
+    places = F.filter(places, lambda i: (i == 0) | (F.col("tails") & (i <= half + 1)) | (F.col("heads") & (i >= half)))
+    spots = near.select("h1", "h2", "line", "n", F.explode(places).alias("i"))
+    rest = F.concat_ws(" ", F.nullif(_head(F.col("line"), F.col("i") - 1), F.lit("")), F.nullif(_head(F.col("line"), F.col("i") - F.col("n")), F.lit("")))
+    variants = written(spots.select("h1", "h2", "n", "i", F.xxhash64(F.when(F.col("i") == 0, F.col("line")).otherwise(rest)).alias("v")), "variants")
+    met = written(variants.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select(F.col("v").alias("met")), "met")
+    order = near.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), "first")
+    variants = variants.join(met, F.col("v") == F.col("met"), "left_semi")
+    variants = written(variants.join(order, (F.col("h1") == F.col("o1")) & (F.col("h2") == F.col("o2"))).drop("o1", "o2"), "variants")
     whole = F.col("i") == 0
     earliest = lambda when: F.min(F.when(when, F.struct("first", "h1", "h2")))
     same_place = variants.groupBy("v", "n", "i").agg(F.min(F.struct("first", "h1", "h2")).alias("m"), F.count("*").alias("c")).where("c > 1").select(F.col("v").alias("v2"), F.col("n").alias("n2"), F.col("i").alias("i2"), "m")
@@ -89,24 +102,26 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         variants.join(written(moved, "moved"), F.col("v") == F.col("v2")).select("h1", "h2", "first", other.alias("m")),
     ]
     pairs = reduce(DataFrame.unionByName, pairs).where("m.first < first").select("h1", "h2", F.col("m.h1").alias("g1"), F.col("m.h2").alias("g2")).distinct()
-    left, right = near.select("h1", "h2", F.col("words").alias("x")), near.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("words").alias("y"))
+    words = F.split("line", " ", -1)
+    left, right = near.select("h1", "h2", words.alias("x")), near.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), words.alias("y"))
     both = written(written(pairs, "pairs").join(left, ["h1", "h2"]), "left").join(right, (F.col("g1") == F.col("o1")) & (F.col("g2") == F.col("o2")))
     common = lambda a, b: F.coalesce(F.nullif(F.array_position(F.zip_with(a, b, lambda s, t: s.eqNullSafe(t)), False), F.lit(0)) - 1, F.least(F.size(a), F.size(b)))
     longer = F.greatest(F.size("x"), F.size("y"))
     close = (F.abs(F.size("x") - F.size("y")) <= 1) & (common(F.col("x"), F.col("y")) + common(F.reverse("x"), F.reverse("y")) >= longer - 1)
     gone = written(both.where(close).select("h1", "h2").distinct(), "gone")
-    verdict = distinct.join(gone.withColumn("near", F.lit(True)), ["h1", "h2"], "left").select(F.col("h1").alias("d1"), F.col("h2").alias("d2"), F.col("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    verdict = written(verdict, "verdict")
-    long = told.where(F.col("n") >= least_words).select("_id", "f", "p", "line_no", "h1", "h2").join(verdict, (F.col("h1") == F.col("d1")) & (F.col("h2") == F.col("d2")))
+    # lines of one copy without a near one stay, and need no verdict
+    verdict = distinct.drop("keys").join(gone.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("copies > 1 OR near")
+    verdict = written(verdict.select(F.col("h1").alias("d1"), F.col("h2").alias("d2"), "first", F.coalesce("near", F.lit(False)).alias("near")), "verdict")
     original = (F.col("first.f") == F.col("f")) & (F.col("first.p") == F.col("p")) & (F.col("first.line_no") == F.col("line_no"))
-    judged = long.select("_id", "f", "p", "line_no", (~original).alias("exact"), (original & F.col("near")).alias("near"))
-    judged = judged.unionByName(told.where(F.col("n") < least_words).select("_id", "f", "p", "line_no", F.lit(False).alias("exact"), F.lit(False).alias("near")))
-    count = lambda c: F.sum(F.col(c).cast("long"))
-    drops = F.array_sort(F.collect_list(F.when(F.col("exact") | F.col("near"), F.col("line_no"))))
-    return (
-        judged.groupBy("f", "p", "_id").agg(F.count("*").alias("n_lines"), count("exact").alias("n_exact"), count("near").alias("n_near"), F.array_join(drops, ",").alias("dropped"))
-        .select(F.col("_id").alias(id_col), "n_lines", "n_exact", "n_near", "dropped")
-    )
+    judged = told.drop("keys", "_id").join(verdict, (F.col("h1") == F.col("d1")) & (F.col("h2") == F.col("d2"))).select("f", "p", "line_no", original.alias("original"), "near")
+    drops = judged.where("near OR NOT original").groupBy("f", "p").agg(
+        F.sum((~F.col("original")).cast("long")).alias("n_exact"), F.sum(F.col("original").cast("long")).alias("n_near"), F.array_join(F.array_sort(F.collect_list("line_no")), ",").alias("dropped")
+    ).withColumnsRenamed({"f": "f2", "p": "p2"})
+    every = rows.select("_id", "f", "p", F.regexp_count(F.coalesce(F.col("_text").cast("string"), F.lit("")), F.lit("\n")).cast("long").alias("breaks"))
+    none = lambda c: F.coalesce(c, F.lit(0))
+    return every.join(drops, (F.col("f") == F.col("f2")) & (F.col("p") == F.col("p2")), "left").select(
+        F.col("_id").alias(id_col), (F.col("breaks") + 1).alias("n_lines"), none("n_exact").alias("n_exact"), none("n_near").alias("n_near"), F.coalesce("dropped", F.lit("")).alias("dropped")
+    )
 
 
 def without_lines(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -66,9 +66,9 @@ QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash_dedup, op3_toke
 ORACLE_SQL = {
     "op6_line_dedup": r"""
         WITH raw AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-        l AS (SELECT doc_id, i - 1 AS line_no, trim(ls[i], chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) AS line
+        l AS (SELECT doc_id, i - 1 AS line_no, regexp_replace(trim(ls[i], chr(32) || chr(9) || chr(13) || chr(11) || chr(12)), '[\x20\x09-\x0D]+', ' ', 'g') AS line
               FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM raw)),
-        w AS (SELECT *, CASE WHEN line = '' THEN [] ELSE string_split_regex(line, '[\x20\x09-\x0D]+') END AS words,
+        w AS (SELECT *, CASE WHEN line = '' THEN [] ELSE string_split(line, ' ') END AS words,
                      row_number() OVER (ORDER BY doc_id, line_no) AS pos FROM l),
         d AS (SELECT line, words, min(pos) AS first FROM w WHERE len(words) >= 5 GROUP BY ALL),
         v AS (SELECT line, words, first, i, CASE WHEN i = 0 THEN words ELSE list_concat(words[1:i - 1], words[i + 1:]) END AS rest
