@@ -18,10 +18,24 @@ def words(text: Column, least: int = 1) -> Column:
     return F.filter(F.split(F.lower(text), NOT_WORD), lambda w: F.length(w) >= least)
 
 
+def bound(value: Column, then) -> Column:
+    """then(value), with value worked out once, however often and in whatever lambda it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _chars(text: Column, n: int, finish) -> Column:
+    """All runs of n neighbouring characters, or the text itself if it is shorter; none of an empty text."""
+
+    def runs(c: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(c) - n, F.lit(0)))
+        return finish(F.transform(starts, lambda i: F.concat_ws("", *[F.get(c, i + k) for k in range(n)])))
+
+    return F.when(F.length(text) > 0, bound(F.split(text, "", -1), lambda c: runs(F.filter(c, lambda x: x != "")))).otherwise(F.array().cast("array<string>"))
+
+
 def bigrams(run: Column) -> Column:
     """Character pairs of a run; one character stays alone, none gives none."""
-    many = F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - 1, F.lit(1))), lambda i: F.substring(run, i, F.lit(2)))
-    return F.when(F.length(run) > 0, many).otherwise(F.array().cast("array<string>"))
+    return _chars(run, 2, lambda x: x)
 
 
 def hangul_tokens(text: Column) -> Column:
@@ -90,8 +104,7 @@ def similarity_normal(text: Column) -> Column:
 
 def grams(normal: Column, n: int = 3) -> Column:
     """Sorted distinct character n-grams; a shorter text is one gram, an empty one has none."""
-    many = F.transform(F.sequence(F.lit(1), F.greatest(F.length(normal) - (n - 1), F.lit(1))), lambda i: F.substring(normal, i, F.lit(n)))
-    return F.when(F.length(normal) > 0, F.array_sort(F.array_distinct(many))).otherwise(F.array().cast("array<string>"))
+    return _chars(normal, n, lambda x: F.array_sort(F.array_distinct(x)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -120,16 +133,12 @@ def substantial_lines(body: Column) -> Column:
 
 def sections(body: Column) -> Column:
     """array<struct<title, lines>>: the substantial lines below each ## heading."""
-    empty = F.array().cast("array<struct<title:string,lines:array<string>>>")
-
-    def step(done: Column, x: Column) -> Column:
-        line = F.btrim(x)
-        fresh = F.concat(done, F.array(F.struct(F.btrim(F.regexp_replace(line, "^#+", "")).alias("title"), F.array().cast("array<string>").alias("lines"))))
-        last = F.element_at(done, -1)
-        longer = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["title"].alias("title"), F.concat(last["lines"], F.array(line)).alias("lines"))))
-        return F.when(F.startswith(line, F.lit("##")), fresh).when((line == "") | (F.size(done) == 0) | F.startswith(line, F.lit("#")), done).otherwise(longer)
-
-    return F.aggregate(lines(body), empty, step)
+    parts = F.split(F.concat(F.lit("\n"), body), r"\n[ \t]*#{2,}", -1)
+    rest = lambda p: F.split(F.substring(p, F.length(F.substring_index(p, "\n", 1)) + 1, F.length(p)), "\n", -1)
+    solid = lambda x: (F.btrim(x) != "") & ~F.startswith(F.btrim(x), F.lit("#"))
+    return F.transform(
+        F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.struct(F.btrim(F.substring_index(p, "\n", 1)).alias("title"), F.transform(F.filter(rest(p), solid), lambda x: F.btrim(x)).alias("lines"))
+    )
 
 
 def table_rows(body: Column) -> Column:
@@ -246,6 +255,9 @@ def identifiers(text: Column) -> Column:
 
 def entropy(token: Column) -> Column:
     """Shannon entropy in bits a character."""
-    chars = F.split(token, "")
-    counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.size(chars))
-    return F.aggregate(counts, F.lit(0.0), lambda t, p: t - p * F.log2(p))
+
+    def of(chars: Column) -> Column:
+        shares = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.size(chars))
+        return F.aggregate(shares, F.lit(0.0), lambda t, p: t - p * F.log2(p))
+
+    return bound(F.split(token, "", -1), of)

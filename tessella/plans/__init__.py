@@ -1,5 +1,5 @@
 """Registered queries of the note-corpus engine."""
 
-from tessella.plans import retrieval
+from tessella.plans import retrieval, rules
 
-PLANS = (retrieval,)
+PLANS = (retrieval, rules)
