@@ -212,8 +212,11 @@ class Model:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 200, **options) -> Model:
     """A model whose counter-examples are the paragraphs of at most `sample` documents, the smallest by a hash of id and text."""
     text = F.col(text_col).cast("string")
-    rows = docs.where(text.isNotNull()).select(F.xxhash64(F.col(id_col).cast("string"), text).alias("h"), text.alias("t")).orderBy("h", "t").limit(sample)
-    return Model([r.t for r in rows.collect()], **options)
+    rows = docs.where(text.isNotNull()).select(F.xxhash64(F.col(id_col).cast("string"), text).alias("h"), text.alias("t"))
+    # of all rows only hashes are compared; the texts that come to the driver are the sample's
+    least = [r.h for r in rows.select("h").orderBy("h").limit(sample).collect()]
+    chosen = rows.where(F.col("h") <= least[-1]).distinct().orderBy("h", "t").limit(sample).collect() if least else []
+    return Model([r.t for r in chosen], **options)
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None, **options) -> DataFrame:
