@@ -30,7 +30,7 @@ def _chars(text: Column, n: int, finish) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.size(c) - n, F.lit(0)))
         return finish(F.transform(starts, lambda i: F.concat_ws("", *[F.get(c, i + k) for k in range(n)])))
 
-    return F.when(F.length(text) > 0, bound(F.split(text, "", -1), lambda c: runs(F.filter(c, lambda x: x != "")))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(text) > 0, bound(F.filter(F.split(text, "", -1), lambda x: x != ""), runs)).otherwise(F.array().cast("array<string>"))
 
 
 def bigrams(run: Column) -> Column:
