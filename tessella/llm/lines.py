@@ -37,13 +37,16 @@ def _half_keys(line: Column, n: Column) -> Column:
 
 def _lines(docs: DataFrame, text_col: str, least_words: int) -> DataFrame:
     """Lines of least_words words and more: row key f, p, line_no, line with single spaces, number of words, 128-bit hash."""
-    parts = F.posexplode(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n", -1)).alias("line_no", "raw")
-    trimmed = docs.select("_id", "f", "p", parts).withColumn("raw", F.btrim("raw", F.lit(TRIM)))
-    odd = reduce(lambda a, b: a | b, [F.contains("raw", F.lit(x)) for x in ODD_SPACE])  # far cheaper than a pattern
-    single = F.when(odd, F.regexp_replace("raw", r"[\x20\x09-\x0D]+", " ")).otherwise(F.col("raw"))
-    lines = trimmed.select("_id", "f", "p", "line_no", single.alias("line"))
-    n = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
-    return lines.withColumn("n", n).where(F.col("n") >= least_words).select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
+    # within the array each line is put right once; columns after the explode are not worked out anew for every use
+
+    def single(raw: Column) -> Column:
+        odd = reduce(lambda a, b: a | b, [F.contains(raw, F.lit(x)) for x in ODD_SPACE])  # far cheaper than a pattern
+        return F.when(odd, F.regexp_replace(raw, r"[\x20\x09-\x0D]+", " ")).otherwise(raw)
+
+    trimmed = F.transform(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n", -1), lambda x: F.btrim(x, F.lit(TRIM)))
+    counted = F.transform(F.transform(trimmed, single), lambda x: F.struct(x.alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n")))
+    lines = docs.select("_id", "f", "p", F.posexplode(counted).alias("line_no", "x")).select("_id", "f", "p", "line_no", "x.line", "x.n")
+    return lines.where(F.col("n") >= least_words).select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
 
 
 def _may_be_in(wanted: DataFrame, column: str, words: int = 1 << 17) -> Column:
