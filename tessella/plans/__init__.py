@@ -1,5 +1,5 @@
 """Registered queries of the note-corpus engine."""
 
-from tessella.plans import neighbours, retrieval, rules
+from tessella.plans import events, neighbours, retrieval, rules
 
-PLANS = (retrieval, rules, neighbours)
+PLANS = (retrieval, rules, neighbours, events)
