@@ -91,22 +91,25 @@ def matched(notes: DataFrame, terms: list[str], fields: list[str] | None = None)
     return tokens.select("id", *[F.size(f).cast("long").alias(f"len_{f}") for f in fields], *[F.filter(f, lambda t: F.array_contains(wanted, t)).alias(f) for f in fields])
 
 
+def _if_equal(term: str):
+    return lambda t: F.when(t == term, t)
+
+
 def bm25(notes: DataFrame, terms: list[str], weights: dict[str, float] | None = None) -> DataFrame:
     """(id, score, hits) of notes that have a term: field-weighted BM25 with idf ln((N-df+.5)/(df+.5)), 1e-6 at least."""
     weights = weights or index.FIELDS
     rows = matched(notes, terms, list(weights))
-    stats = rows.agg(F.count("*").alias("n"), *[F.avg(f"len_{f}").alias(f"avg_{f}") for f in weights])
-    some = rows.where(" OR ".join(f"size({f}) > 0" for f in weights))
-    one = some.select("id", F.explode(F.array(*map(F.lit, terms))).alias("term"), *[F.col(f"len_{f}") for f in weights], *weights)
-    counts = {f: F.size(F.filter(f, lambda t: t == F.col("term"))) for f in weights}
-    one = one.select("id", "term", *[F.col(f"len_{f}") for f in weights], *[c.alias(f"tf_{f}") for f, c in counts.items()]).where(" + ".join(f"tf_{f}" for f in weights) + " > 0")
-    df = one.groupBy("term").agg(F.count("*").alias("df"))
-    scored = one.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # as many rows as terms, and one
-    idf = F.greatest(F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    parts = [
-        F.when(F.col(f"tf_{f}") > 0, w * idf * F.col(f"tf_{f}") * (K1 + 1) / (F.col(f"tf_{f}") + K1 * (1 - B + B * F.col(f"len_{f}") / F.col(f"avg_{f}")))).otherwise(0.0) for f, w in weights.items()
-    ]
-    return scored.groupBy("id").agg(F.round(F.sum(sum(parts[1:], parts[0])), 9).alias("score"), F.count("*").alias("hits"))
+    has = lambda t: F.greatest(*[F.array_contains(f, F.lit(t)).cast("int") for f in [*weights, *weights][: max(2, len(weights))]])
+    stats = rows.agg(F.count("*").alias("n"), *[F.avg(f"len_{f}").alias(f"avg_{f}") for f in weights], *[F.coalesce(F.sum(has(t)), F.lit(0)).alias(f"df_{i}") for i, t in enumerate(terms)])
+    some = rows.where(" OR ".join(f"size({f}) > 0" for f in weights)).crossJoin(F.broadcast(stats))  # one row
+    total = F.lit(0.0)
+    for i, t in enumerate(terms):
+        idf = F.greatest(F.ln((F.col("n") - F.col(f"df_{i}") + 0.5) / (F.col(f"df_{i}") + 0.5)), F.lit(1e-6))
+        for f, w in weights.items():
+            tf = F.size(F.array_compact(F.transform(f, _if_equal(t))))
+            norm = 1 - B + B * F.col(f"len_{f}") / F.col(f"avg_{f}")
+            total = total + F.when(F.array_contains(f, F.lit(t)), w * idf * tf * (K1 + 1) / (tf + K1 * norm)).otherwise(0.0)
+    return some.select("id", F.round(total, 9).alias("score"), sum([has(t) for t in terms[1:]], has(terms[0])).cast("long").alias("hits"))
 
 
 def top(scored: DataFrame, k: int, *order: Column) -> DataFrame:
