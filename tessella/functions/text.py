@@ -104,7 +104,7 @@ def similarity_normal(text: Column) -> Column:
 
 def grams(normal: Column, n: int = 3) -> Column:
     """Sorted distinct character n-grams; a shorter text is one gram, an empty one has none."""
-    return _chars(normal, n, lambda x: F.array_sort(F.array_distinct(x)))
+    return _chars(normal, n, lambda x: F.sort_array(F.array_distinct(x)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -156,7 +156,7 @@ def units(text: Column) -> Column:
 def facts(text: Column) -> Column:
     """struct of sorted distinct numbers and Latin names of three characters or more."""
     low = F.lower(text)
-    find = lambda p: F.array_sort(F.array_distinct(F.regexp_extract_all(low, F.lit(p), F.lit(0))))
+    find = lambda p: F.sort_array(F.array_distinct(F.regexp_extract_all(low, F.lit(p), F.lit(0))))
     return F.struct(find(r"\d[\d.]*").alias("numbers"), find(r"[a-z][a-z0-9_./-]{2,}").alias("names"))
 
 

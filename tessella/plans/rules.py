@@ -38,6 +38,12 @@ def rule_security_findings(spark, sf_dir):
     return R.row_findings(notes(spark, sf_dir), AS_OF, ["E01", "E03", "E05"])
 
 
+def rule_all_findings(spark, sf_dir):
+    """Every single-row rule that the columns allow, in one pass, counted."""
+    n = notes(spark, sf_dir).withColumn("state", F.lit(None).cast("string"))
+    return R.row_findings(n, AS_OF).groupBy("rule", "level").agg(F.count("*").alias("notes"))
+
+
 def tag_broad(spark, sf_dir):
     return R.broad_tags(notes(spark, sf_dir))
 
@@ -114,7 +120,7 @@ def camel_split(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        rule_field_findings, rule_body_findings, rule_security_findings, tag_broad, scope_skew, stale_age, cold_notes, orphan_notes, dead_links, stale_basis,
+        rule_field_findings, rule_body_findings, rule_security_findings, rule_all_findings, tag_broad, scope_skew, stale_age, cold_notes, orphan_notes, dead_links, stale_basis,
         cited_not_superseded, review_queues, health, redact_pii, secret_hits, injection_flag, neutralize, facts, number_norm, camel_split,
     )
 }
