@@ -13,8 +13,8 @@ from tessella.llm.common import with_row_key, written
 from tessella.llm.exact_dedup import exact_dedup
 from tessella.llm.langid import train, with_known_language
 from tessella.llm.mixing import mix, mixed_documents
+from tessella.llm.near import near_groups
 from tessella.llm.packing import packed
-from tessella.llm.simhash import simhash_dedup
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +30,9 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints are linked, the one of the smallest id stays; of equal or null ids the first stored."""
+    """Of documents linked by a Jaccard similarity of 0.8 of their 5-word shingles, the one of the smallest id stays; of equal or null ids the first stored."""
     rows = with_row_key(docs, "_row")
-    told = written(simhash_dedup(rows, carry=["_row"]).select("doc_id", "_row", "component"), "groups")
+    told = written(near_groups(rows, carry=["_row"]), "near")
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("best")
     kept = told.groupBy("component").agg(best).select(F.col("best._row").alias("_kept"))
     return rows.join(kept, F.col("_row") == F.col("_kept"), "left_semi").drop("_row")
