@@ -19,8 +19,8 @@ STRONG = {
     "hex": (r"[0-9a-f]+", 24, 0, "secret"),
 }
 WEAK = {
-    "blob": (r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/]*[0-9])(?=[0-9+/]*[A-Za-z])[A-Za-z0-9+/]{32,88}={0,2}(?![A-Za-z0-9+/=_-])", 0, 0, "secret"),
-    "identifier": (r"""(?i:\b(client_?id|access_?key_?id|account(?:_?id)?|user(?:name)?|login))["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", 0, 3, "identifier"),
+    "blob": (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/]*[0-9])(?=[0-9+/]*[A-Za-z])[A-Za-z0-9+/]{32,}+={0,2}(?![A-Za-z0-9+/=_-])", 0, 0, "secret"),
+    "identifier": (r"""(?i:(?:\b|(?<=_))(client_?id|access_?key_?id|account(?:_?(?:id|name))?|user(?:name)?|login))["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", 0, 3, "identifier"),
     "endpoint": (r"""(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\x20\x09-\x0D"'<>]+""", 0, 0, "endpoint"),
 }
 KINDS = STRONG | WEAK
