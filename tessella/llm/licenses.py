@@ -154,6 +154,11 @@ class Model:
         logits = x[held] @ self.weights + self.bias
         self.temperature = min((0.25 * 1.3**i for i in range(14)), key=lambda t: self._loss(logits / t, y[held]))
         self.templates = [[set(self._shingles(words_of(t.encode()))) for t in n] for n in TEMPLATES.values()]
+        self.where: dict[bytes, list[tuple[int, int]]] = {}  # shingle: family and template
+        for k, family in enumerate(self.templates):
+            for t, template in enumerate(family):
+                for x in template:
+                    self.where.setdefault(x, []).append((k, t))
         # Words without one of which `other` cannot lose: each gram that speaks for a family has such a word.
         gain = (self.weights[:, :-1] - self.weights[:, -1:]).max(1)
         lead = float((self.bias[:-1] - self.bias[-1]).max())
@@ -201,12 +206,72 @@ class Model:
         confirmed = any(len(t & here) >= self.confirm * len(t) for t in self.templates[k])
         return (self.names[k] if confirmed and p[k] >= self.threshold else "unknown", float(p[k]))
 
+    def _wrapped(self, lines: list[bytes]) -> list[tuple[int, int, str, float]]:
+        """(first line, last line, family, probability) of notices that adjacent lines make up together.
+
+        A line without words ends what it may be joined with. Where the shingles of a template come close enough together
+        to confirm it, the lines they are on are judged as one.
+        """
+        out: list[tuple[int, int, str, float]] = []
+        words: list[bytes] = []
+        of: list[int] = []
+        for i, line in enumerate([*lines, b""]):
+            if w := words_of(line):
+                words += w
+                of += [i] * len(w)
+                continue
+            if of and of[0] != of[-1]:
+                hits: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
+                for at, x in enumerate(self._shingles(words)):
+                    for key in self.where.get(x, ()):
+                        hits.setdefault(key, []).append((at, x))
+                for (k, t), found in hits.items():
+                    out += self._together(lines, of, found, k, len(self.templates[k][t]))
+            words, of = [], []
+        return out
+
+    def _together(self, lines: list[bytes], of: list[int], found: list[tuple[int, bytes]], k: int, size: int) -> list[tuple[int, int, str, float]]:
+        """Spans of lines whose hits of one template confirm it."""
+        out, seen, first, last = [], {}, 0, 0
+        while last < len(found):
+            seen[found[last][1]] = seen.get(found[last][1], 0) + 1
+            last += 1
+            if len(seen) < self.confirm * size:
+                continue
+            while seen[found[first][1]] > 1:
+                seen[found[first][1]] -= 1
+                first += 1
+            if found[last - 1][0] - found[first][0] > 2 * size + 10:  # too far apart to be one sentence
+                del seen[found[first][1]]
+                first += 1
+                continue
+            while last < len(found) and found[last][1] not in seen and found[last][0] - found[last - 1][0] <= 10:
+                seen[found[last][1]] = 1
+                last += 1
+            a, b = of[found[first][0]], of[min(found[last - 1][0] + 2, len(of) - 1)]
+            if a != b and (j := self.judge(b" ".join(lines[a : b + 1]), gated=False)) and j[0] == self.names[k]:
+                out.append((a, b, *j))
+            seen, first = {}, last
+        return out
+
     def scan(self, text: bytes) -> list[tuple[int, str, float]]:
-        """(paragraph number, family, probability) of every licence paragraph; paragraphs are lines."""
+        """(number of the first line, family, probability) of every licence paragraph: a line, or adjacent ones that are a wrapped notice."""
         if self.gate.isdisjoint(words_of(text)):
             return []
-        found = ((i, self.judge(p)) for i, p in enumerate(text.split(b"\n")))
-        return [(i, *j) for i, j in found if j]
+        lines = text.split(b"\n")
+        found = [(i, i, *j) for i, p in enumerate(lines) if (j := self.judge(p))]
+        spans: list[tuple[int, int, str, float]] = []
+        for a, b, name, p in sorted(self._wrapped(lines)) if len(lines) > 1 else []:
+            if any(x == y == i and n == name for x, y, n, _ in found for i in range(a, b + 1)):
+                continue  # one of the lines says so by itself
+            same = next((s for s in spans if s[2] == name and a <= s[1]), None)
+            if same:
+                spans.remove(same)
+                a, b, p = same[0], max(b, same[1]), max(p, same[3])
+            spans.append((a, b, name, p))
+        # pieces of a notice that is told as a whole are not told again
+        found = [f for f in found if f[2] != "unknown" or not any(a <= f[0] <= b for a, b, *_ in spans)]
+        return [(i, n, p) for i, _, n, p in sorted(found + spans)]
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 200, **options) -> Model:

@@ -41,3 +41,44 @@ def test_scan(spark):
     # what looks like a notice but matches no template is not told as a known licence
     assert model.judge(b"licensed under apache license mit license version") in (None, ("unknown", model.judge(b"licensed under apache license mit license version")[1]))
     assert license_scan(spark.createDataFrame([], DOCS)).collect() == []
+
+
+WRAPPED = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.""",
+    "bsd": """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions
+# are met:""",
+    "gpl": """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.""",
+    "apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+}
+
+
+def test_wrapped_headers(spark):
+    prose = "lorem ipsum dolor sit amet\nconsetetur sadipscing elitr sed diam"
+    starts = {"mit": ("3", "10"), "bsd": ("3",), "gpl": ("3",), "apache-2.0": ("3", "9")}
+    rows = [(i, f"{prose}\n\n{t}\n\n{prose}", None) for i, t in enumerate(WRAPPED.values())]
+    rows += [(9, WRAPPED["gpl"].replace("\n", "\n\n"), None), (10, prose, None)]  # blank lines are no wrapping
+    got = {r.doc_id: r for r in license_scan(spark.createDataFrame(rows, DOCS)).collect()}
+    for i, name in enumerate(WRAPPED):
+        told = got[i].paragraphs.split(",")
+        assert {f"{n}:{name}" for n in starts[name]} <= set(told) and set(got[i].licenses.split(",")) <= {name, "unknown"}, got[i]
+    assert "gpl" not in got[9].licenses and got[10].licenses == ""
