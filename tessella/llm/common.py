@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,10 +14,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or the context's own where that is unset."""
+    """The folder that every executor sees: spark.checkpoint.dir, or the context's own checkpoint folder.
+
+    Where neither is set there is none, as a folder of one machine would be lost on the others: that is an error, but
+    for a session whose executors all run in this very process, which makes a folder in its warehouse.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
-        base = tempfile.mkdtemp(prefix="tessella-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
@@ -38,18 +43,33 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or the first of name_2, name_3, ... that no column of df has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    tries = [name, *(f"{name}_{i}" for i in range(2, len(taken) + 3))]
+    return next(n for n in tries if n.lower() not in taken)
+
+
 def with_row_key(df: DataFrame, name: str = "_row") -> DataFrame:
     """df with a key that tells equal rows apart and stays the same on every read: struct(file, position).
 
-    A frame that is no plain file scan is written to the shared folder first, as only stored rows have such a key.
+    A frame that is no plain file scan is written to the shared folder first, as only stored rows have such a key. The
+    name must be free (free_name); any other column may have any name, `_metadata` too.
     """
     key = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("pos"))
-    try:
-        return df.select("*", key.alias(name))
-    except Exception as e:  # no file scan: the hidden column is unknown
-        if "UNRESOLVED_COLUMN" not in str(e) and "_metadata" not in str(e):
-            raise
-    return written(df, "rows").select("*", key.alias(name))
+    plain = "_metadata" not in {c.lower() for c in df.columns}
+    if plain:
+        try:
+            return df.select("*", key.alias(name))
+        except Exception as e:  # no file scan: the hidden column is unknown
+            if "UNRESOLVED_COLUMN" not in str(e) and "_metadata" not in str(e):
+                raise
+    # columns get plain names while the key is read, as one called _metadata would hide the files'; the folder's random
+    # name is no part of the key, so that reruns give equal rows the same keys
+    held = [f"c{i}" for i in range(len(df.columns))]
+    file = F.xxhash64(F.regexp_replace("_metadata.file_name", "-[0-9a-f-]{36}-", "-"))
+    stored = written(df.toDF(*held), "rows").select("*", F.struct(file.alias("file"), F.col("_metadata.row_index").alias("pos")).alias("key"))
+    return stored.toDF(*df.columns, name)
 
 
 def n_words(text: Column) -> Column:
@@ -62,6 +82,21 @@ def bounded_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def maybe_in(value: Column, wanted: DataFrame, column: str, most_words: int = 1 << 20) -> Column:
+    """A test on 64-bit hashes by a bit table: true for all of wanted's, and for others by chance, about one in sixteen.
+
+    It thins what an exact join shuffles. The table has 16 bits a wanted row, and 8 bytes x most_words (8 MB) at most;
+    a fuller one lets more pass, all of them in the end, so that the join alone decides, which costs a shuffle more.
+    """
+    words = min(most_words, 1 << max(10, (wanted.count() // 4).bit_length()))
+    slot = lambda c: F.shiftrightunsigned(c, 3).bitwiseAND(F.lit(words * 64 - 1))
+    filled = wanted.select(slot(F.col(column)).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 AS int)))").alias("b"))
+    every = wanted.sparkSession.range(words).join(filled, F.col("id") == F.col("w"), "left").select("id", F.coalesce("b", F.lit(0)).alias("b"))
+    table = every.agg(F.expr("transform(array_sort(collect_list(struct(id, b))), x -> x.b)").alias("bits"))
+    bits = written(table, "bits").scalar()
+    return F.getbit(F.element_at(bits, (F.shiftright(slot(value), 6) + 1).cast("int")), slot(value).bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def line_up(df: DataFrame, group: str, size: str, order: Column, slice_rows: int = 2000) -> DataFrame:
     """Adds `line_start`: the sum of `size` over the rows of the same group that come before, in pseudo-random order.
 

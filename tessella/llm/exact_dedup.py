@@ -17,79 +17,61 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm.common import kept_fields, schema, written
+from tessella.llm.golomb import golomb_decode, golomb_encode
 
 SPACE = b" \t\n\x0b\x0c\r"
 FP_BITS = 48
+#: Fingerprints that an owner compares in memory, about.
+OWNED = 2_000_000
+#: Rows whose digests a sender holds before it sends them.
+SENT = 1_000_000
 _SAFE = pa.binary()
 
 
-def golomb_encode(values: np.ndarray, span: int) -> bytes:
-    """Sorted distinct integers in [0, span) as gaps in a Golomb code, whose parameter is the power of two below the mean gap."""
-    if not len(values):
-        return b""
-    gaps = np.diff(values.astype(np.int64), prepend=-1) - 1
-    k = max(0, (max(1, span // len(values))).bit_length() - 1)
-    quotient, rest = gaps >> k, gaps & ((1 << k) - 1)
-    length = quotient + 1 + k
-    begin = np.cumsum(length) - length
-    bits = np.zeros(int(length.sum()), np.uint8)
-    bits[begin + quotient] = 1
-    for j in range(k):
-        bits[begin + quotient + 1 + j] = (rest >> (k - 1 - j)) & 1
-    return len(values).to_bytes(4, "little") + bytes([k]) + np.packbits(bits).tobytes()
-
-
-def golomb_decode(data: bytes) -> np.ndarray:
-    if not data:
-        return np.empty(0, np.int64)
-    n, k = int.from_bytes(data[:4], "little"), data[4]
-    bits = (np.unpackbits(np.frombuffer(data, np.uint8, offset=5)) + 48).tobytes().decode()
-    out, at = np.empty(n, np.int64), 0
-    for i in range(n):
-        one = bits.index("1", at)
-        out[i] = ((one - at) << k) + (int(bits[one + 1 : one + 1 + k], 2) if k else 0) + 1
-        at = one + 1 + k
-    return np.cumsum(out) - 1
-
-
 def _norm(text: bytes | None) -> bytes:
     return (text or b"").translate(None, SPACE)
 
 
 def _send(carry: list[str], owners: int, out: pa.Schema):
-    """Rows (digests) and, at the end of the partition, one message per owner."""
+    """Rows (digests) and, after every SENT rows and at the end of the partition, one message per owner."""
+    span = -(-(1 << FP_BITS) // owners)
 
-    def run(batches):
-        sender = TaskContext.get().partitionId()
-        parts, shas, chars = [], [], []
-        for b in batches:
-            text = b.column("_text")
-            chars.append(pa.compute.fill_null(pa.compute.utf8_length(text), 0).cast(pa.int64()).to_numpy())
-            shas += [hashlib.sha256(_norm(t)).digest() for t in text.cast(_SAFE).to_pylist()]
-            parts.append(b.select(carry))
-        if not shas:
-            return
+    def flush(sender: int, parts: list, shas: list, chars: list):
         n = len(shas)
         fp = np.array([int.from_bytes(s[:6], "big") for s in shas], np.int64)
         distinct, inverse, count = np.unique(fp, return_inverse=True, return_counts=True)
-        span = -(-(1 << FP_BITS) // owners)
-        cuts = np.searchsorted(distinct, np.arange(owners + 1, dtype=np.int64) * span)
         owner = distinct // span
+        to, cuts = np.unique(owner, return_index=True)
+        first = cuts[np.searchsorted(to, owner)]
         columns = pa.Table.from_batches(parts).combine_chunks()
         rows = [
             pa.array(np.full(n, sender, np.int64)), pa.array(np.arange(n)), pa.array(shas, _SAFE), pa.array(np.concatenate(chars)),
-            pa.array(owner[inverse]), pa.array(inverse - cuts[owner[inverse]]), pa.array(count[inverse] > 1), pa.nulls(n, _SAFE),
+            pa.array(owner[inverse]), pa.array(inverse - first[inverse]), pa.array(count[inverse] > 1), pa.nulls(n, _SAFE),
         ]
         carried = [c.chunk(0) if c.num_chunks else pa.nulls(0, c.type) for c in columns.columns]
         yield from pa.Table.from_arrays([*carried, *rows], schema=out).to_batches(max_chunksize=10_000)
-        sent = [(o, golomb_encode(distinct[a:b] - o * span, span)) for o, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+        sent = [golomb_encode(x - o * span, span) for o, x in zip(to, np.split(distinct, cuts[1:]), strict=True)]
         m = len(sent)
         message = [
             pa.array(np.full(m, sender, np.int64)), *(pa.nulls(m, f.type) for f in list(out)[len(carry) + 1 : len(carry) + 4]),
-            pa.array([o for o, _ in sent], pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.array([x for _, x in sent], _SAFE),
+            pa.array(to, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.array(sent, _SAFE),
         ]
         yield from pa.Table.from_arrays([*(pa.nulls(m, f.type) for f in list(out)[: len(carry)]), *message], schema=out).to_batches(max_chunksize=10_000)
 
+    def run(batches):
+        sender = TaskContext.get().partitionId() << 24
+        parts, shas, chars = [], [], []
+        for b in batches:
+            text = b.column("_text")
+            chars.append(pa.compute.fill_null(pa.compute.utf8_length(text), 0).cast(pa.int64()).to_numpy())
+            shas += [hashlib.sha256(_norm(t)).digest() for t in text.cast(_SAFE).to_pylist()]
+            parts.append(b.select(carry))
+            if len(shas) >= SENT:
+                yield from flush(sender, parts, shas, chars)
+                sender, parts, shas, chars = sender + 1, [], [], []
+        if shas:
+            yield from flush(sender, parts, shas, chars)
+
     return run
 
 
@@ -121,19 +103,20 @@ def _suspects(bits: np.ndarray):
     return run
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, owners: int | None = None, most_bits: int = 1 << 26) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, owners: int | None = None, most_bits: int = 1 << 29) -> DataFrame:
     """One row per document: id, the carried columns, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if they are identical without ASCII white space; null counts as empty. Of equal texts the row with
     the most code points stays, then the smallest id; a null id comes last, and of rows alike in both the first stored
-    one stays, so that exactly one row of a group is kept. owners: ranges of fingerprints, by default the number of
-    shuffle partitions. most_bits bounds the bit table (8 MB) that is broadcast to pick suspects' texts: beyond its
-    capacity more texts than needed are compared, never fewer. Extra columns of docs do not matter; an empty table
-    gives no rows.
+    one stays, so that exactly one row of a group is kept. owners: ranges of fingerprints, by default one for every
+    OWNED rows, and as many as shuffle partitions at least, so that an owner's lists fit its task at any size. The bit
+    table that is broadcast to pick suspects' texts has 16 bits a suspect, and most_bits (64 MB) at most: with more
+    suspects more texts than needed are shuffled, never fewer, which costs one shuffle of the texts at worst. Extra
+    columns of docs do not matter; an empty table gives no rows.
     """
     spark = docs.sparkSession
     carry = carry or []
-    owners = owners or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    owners = owners or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // OWNED)
     source = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate([id_col, *carry])], F.col(text_col).cast("string").alias("_text"))
     held = [f"_c{i}" for i in range(len(carry) + 1)]
     own = [("sender", T.LongType()), ("pos", T.LongType()), ("sha", T.BinaryType()), ("n_chars", T.LongType()), ("owner", T.LongType()), ("rank", T.LongType()), ("repeat", T.BooleanType()), ("payload", T.BinaryType())]

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import with_row_key, written
+from tessella.llm.common import maybe_in, with_row_key, written
 
 TRIM = " \t\r\x0b\x0c"
 #: White space within a trimmed line that is no single space.
@@ -49,19 +49,6 @@ def _lines(docs: DataFrame, text_col: str, least_words: int) -> DataFrame:
     return lines.where(F.col("n") >= least_words).select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
 
 
-def _may_be_in(wanted: DataFrame, column: str, words: int = 1 << 17) -> Column:
-    """A test on a 64-bit hash by a bit table of fixed size: true for all of wanted's, and for others by chance.
-
-    It thins what an exact join shuffles. A table that is full lets everything pass, so the join stays right.
-    """
-    slot = F.shiftrightunsigned(F.col(column), 3).bitwiseAND(F.lit(words * 64 - 1))
-    filled = wanted.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 AS int)))").alias("b"))
-    every = wanted.sparkSession.range(words).join(filled, F.col("id") == F.col("w"), "left").select("id", F.coalesce("b", F.lit(0)).alias("b"))
-    table = every.agg(F.expr("transform(array_sort(collect_list(struct(id, b))), x -> x.b)").alias("bits"))
-    bits = written(table, "bits").scalar()
-    return F.getbit(F.element_at(bits, (F.shiftright(slot, 6) + 1).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
-
-
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 5) -> DataFrame:
     """One row per document: id, n_lines, n_exact, n_near, dropped (line numbers from 0, comma-joined).
 
@@ -81,10 +68,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = distinct.select("h1", "h2", F.explode("keys").alias("k"))
     live = written(keys.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k"), "live")
     side = F.col("k").bitwiseAND(F.lit(1)) == 1
-    wanted = keys.where(_may_be_in(live, "k")).join(live, "k").groupBy("h1", "h2").agg(F.bool_or(~side).alias("heads"), F.bool_or(side).alias("tails"))
+    wanted = keys.where(maybe_in(F.col("k"), live, "k")).join(live, "k").groupBy("h1", "h2").agg(F.bool_or(~side).alias("heads"), F.bool_or(side).alias("tails"))
     wanted = written(wanted.join(distinct.select("h1", "h2", "first"), ["h1", "h2"]), "wanted")
     # the texts of those lines, read again; a line is told once, by its first copy
-    again = lines.where(_may_be_in(wanted, "h1")).select("h1", "h2", F.col("f").alias("f1"), F.col("p").alias("p1"), F.col("line_no").alias("l1"), "line", "n")
+    again = lines.where(maybe_in(F.col("h1"), wanted, "h1")).select("h1", "h2", F.col("f").alias("f1"), F.col("p").alias("p1"), F.col("line_no").alias("l1"), "line", "n")
     chosen = wanted.withColumnsRenamed({"h1": "w1", "h2": "w2"})
     here = (F.col("f1") == F.col("first.f")) & (F.col("p1") == F.col("first.p")) & (F.col("l1") == F.col("first.line_no")) & (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2"))
     near = written(again.join(chosen, here).select("h1", "h2", "first", "heads", "tails", "line", "n"), "near")
@@ -120,7 +107,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     verdict = distinct.drop("keys").join(gone.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("copies > 1 OR near")
     verdict = written(verdict.select(F.col("h1").alias("d1"), F.col("h2").alias("d2"), "first", F.coalesce("near", F.lit(False)).alias("near")), "verdict")
     original = (F.col("first.f") == F.col("f")) & (F.col("first.p") == F.col("p")) & (F.col("first.line_no") == F.col("line_no"))
-    judged = told.select("f", "p", "line_no", "h1", "h2").where(_may_be_in(verdict.withColumnRenamed("d1", "h1"), "h1")).join(verdict, (F.col("h1") == F.col("d1")) & (F.col("h2") == F.col("d2"))).select("f", "p", "line_no", original.alias("original"), "near")
+    judged = told.select("f", "p", "line_no", "h1", "h2").where(maybe_in(F.col("h1"), verdict, "d1")).join(verdict, (F.col("h1") == F.col("d1")) & (F.col("h2") == F.col("d2"))).select("f", "p", "line_no", original.alias("original"), "near")
     drops = judged.where("near OR NOT original").groupBy("f", "p").agg(
         F.sum((~F.col("original")).cast("long")).alias("n_exact"), F.sum(F.col("original").cast("long")).alias("n_near"), F.array_join(F.array_sort(F.collect_list("line_no")), ",").alias("dropped")
     ).withColumnsRenamed({"f": "f2", "p": "p2"})

@@ -4,8 +4,10 @@ import random
 import numpy as np
 from pyspark.sql import types as T
 
+from tessella.llm import exact_dedup as module
 from tessella.llm.components import connected_components
-from tessella.llm.exact_dedup import exact_dedup, golomb_decode, golomb_encode
+from tessella.llm.exact_dedup import exact_dedup
+from tessella.llm.golomb import golomb_decode, golomb_encode
 
 DOCS = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("text", T.StringType()), ("sha", T.StringType()), ("kept", T.StringType()))])
 
@@ -36,6 +38,13 @@ def test_against_brute_force(spark):
     assert exact_dedup(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_senders_of_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(module, "SENT", 3)  # the driver's value is read when the function is shipped
+    rows = [(i, f"t{i % 7}", "a", "b") for i in range(60)]
+    got = exact_dedup(spark.createDataFrame(rows, DOCS).coalesce(1), owners=2).collect()
+    assert sorted(r.doc_id for r in got if r.kept) == list(range(7)) and {r.group_size for r in got} == {8, 9}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(150)] + [(1000, 1000 + i) for i in range(1, 200)] + [(rng.randrange(5000, 5300), rng.randrange(5000, 5300)) for _ in range(120)] + [(7, 7), (-3, -4)]

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.test_mixing import targets
-from tests.llm.test_simhash import components, plain_fingerprint
+from tests.llm.test_near import near_roots
 
 DOCS = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("text", T.StringType()), ("lang", T.StringType()), ("source", T.StringType()), ("n_chars", T.LongType()))])
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -45,11 +45,9 @@ def test_stages(spark, tmp_path):
         groups[SPACE.sub("", r.text)].append(r)
     assert Counter(exact) == Counter(min(g, key=lambda r: (-len(r.text), r.doc_id is None, r.doc_id or 0)) for g in groups.values())
     # 3: one of each component, by smallest id
-    fp = {id(r): plain_fingerprint(r.text) for r in exact}
-    root = components(set(fp.values()))
     best = defaultdict(list)
-    for r in exact:
-        best[root[fp[id(r)]]].append(r)
+    for r, root in zip(exact, near_roots([r.text for r in exact]), strict=True):
+        best[root].append(r)
     assert Counter(near) == Counter(min(g, key=lambda r: (r.doc_id is None, r.doc_id or 0)) for g in best.values())
     assert len(near) < len(exact) < len(known) < len(start)
     # 4: words by source meet the targets, and come from the document
