@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.mixing import _hypergeometric, mix, shards, splitting_tree
+from tessella.llm.mixing import _hypergeometric, mix, mixed_documents, shards, splitting_tree
 
 DOCS = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("text", T.StringType()), ("source", T.StringType()), ("size", T.StringType()))])
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -76,16 +76,90 @@ def test_hypergeometric_law(spark, good, pop, draws):
     assert abs(sum((x - m) ** 2 for x in got) / n - var) < 0.12 * var + 0.01
 
 
-def test_tree_is_exact(spark):
+@pytest.mark.parametrize("width", [1000, 2])
+def test_tree_is_exact(spark, width):
     quotas = {0: 1000, 1: 0, 2: 37, 3: 512}
-    trees = {r["rank"]: r.tree for r in splitting_tree(spark.createDataFrame(list(quotas.items()), "rank int, draws long"), 4, 1).collect()}
+    got = splitting_tree(spark.createDataFrame(list(quotas.items()), "rank long, draws long"), 4, 1, width).collect()
+    assert all(sum(r.draws for r in got if r["rank"] == k) == n for k, n in quotas.items())
+    loads = [sum(r.draws for r in got if r.shard == s) for s in range(16)]
+    assert max(loads) - min(loads) <= 1 and min(r.draws for r in got) > 0
 
-    def leaves(tree, node, n):
-        if node >= 16:
-            return [n]
-        return leaves(tree, 2 * node, tree[node - 1]) + leaves(tree, 2 * node + 1, n - tree[node - 1])
 
-    shares = [leaves(trees[k], 1, quotas[k]) for k in quotas]
-    assert [sum(x) for x in shares] == list(quotas.values()) and min(map(min, shares)) >= 0
-    loads = [sum(x) for x in zip(*shares, strict=True)]
-    assert max(loads) - min(loads) <= 1
+def drawn_by_hand(order, leaves, sizes, block):
+    """Words that shards draw of each (source, place on its line), by walking all passes block by block."""
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    want, out = targets(sizes), {}
+    for k, s in enumerate(names):
+        z, words = sizes[s], round(want[s])
+        if not z:
+            continue
+        blocks = max(1, z // block)
+        passes, rest = divmod(words, z)
+        few = min(-(-rest // block), blocks)
+        factor = 1_000_003 if blocks % 1_000_003 else 999_983
+        by_place = {factor * (b + 1) % blocks: b for b in range(blocks)}
+        q = [next((r.draws for r in leaves if r["rank"] == k and r.shard == shard), 0) for shard in range(8)]
+        assert sum(q) == passes * blocks + few
+        taken = [0] * z
+        at, last = 0, 0
+        for shard, n in enumerate(q):
+            full = max(0, min(at + n, passes * blocks) - min(at, passes * blocks))
+            for place in range(min(at, passes * blocks), min(at, passes * blocks) + full):
+                b = by_place[place % blocks]
+                for w in range(b * block, z if b == blocks - 1 else (b + 1) * block):
+                    taken[w] += 1
+            f = n - full
+            if f:
+                begin = blocks * last // few
+                assert begin + f <= blocks * (last + f) // few  # the shard's run has room for what it draws
+                for place in range(begin, begin + f):
+                    b = by_place[place]
+                    for w in range(b * block, b * block + (block if b < blocks - 1 else rest - (few - 1) * block)):
+                        taken[w] += 1
+            last, at = last + f, at + n
+        at = 0
+        for i, size in order[s]:
+            out.setdefault(i, []).append(sum(taken[at : at + size]))
+            at += size
+    return out
+
+
+def test_shards_against_brute_force(spark):
+    rng = random.Random(8)
+    data = [(i, " ".join("w" for _ in range(rng.randrange(1, 60))), rng.choice("abcdef"), "x") for i in range(300)]
+    docs = spark.createDataFrame(data, DOCS)
+    sizes, order = defaultdict(int), defaultdict(list)
+    for r in docs.select("doc_id", "text", "source", F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(42)).alias("h")).orderBy("h").collect():
+        n = len(r.text.split())
+        order[r.source].append((r.doc_id, n))
+        sizes[r.source] += n
+    want = targets(sizes)
+    quotas = []
+    for k, s in enumerate(sorted(sizes)):
+        blocks = max(1, sizes[s] // 16)
+        passes, rest = divmod(round(want[s]), sizes[s])
+        quotas.append((k, passes * blocks + min(-(-rest // 16), blocks)))
+    leaves = splitting_tree(spark.createDataFrame(quotas, "rank long, draws long"), 3, 42).collect()
+    total = sum(d for _, d in quotas)
+    mixed = mix(docs, block_words=16, shard_blocks=-(-total // 8))
+    got = {r.doc_id: r.taken for r in mixed.collect()}
+    by_hand = drawn_by_hand(order, leaves, sizes, 16)
+    assert got == {i: by_hand[i][0] for i in got}
+    # another tree takes other words, by the same targets
+    other = {r.doc_id: r.taken for r in mix(docs, block_words=16, shard_blocks=-(-total // 32)).collect()}
+    assert other != got and abs(sum(other.values()) - sum(got.values())) <= len(sizes)
+
+
+def test_documents_in_shard_order(spark):
+    rows = [(i, " ".join(f"w{i}" for _ in range(40)), "ab"[i % 2], "x") for i in range(60)]
+    docs = spark.createDataFrame(rows, DOCS).withColumnsRenamed({"size": "_key"}).withColumn("_pieces", F.lit("clash")).withColumn("_metadata", F.lit(1))
+    mixed = mix(docs, block_words=64, shard_blocks=8)
+    shard = {(r.doc_id, r.pieces[0].shard) for r in mixed.collect() if r.pieces}
+    out = mixed_documents(docs, mixed, "doc_id")
+    assert out.columns == docs.columns
+    parts = out.select("doc_id", F.spark_partition_id().alias("p")).collect()
+    assert sum(len(r.text.split()) for r in out.collect()) == sum(r.taken for r in mixed.collect())
+    place = defaultdict(set)
+    for r in parts:
+        place[next(s for i, s in shard if i == r.doc_id)].add(r.p)
+    assert len(place) > 2 and all(place.values())
