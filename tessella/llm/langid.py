@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from tessella.llm.common import kept_fields, schema
+from tessella.llm.common import kept_fields, release, schema
 
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter is what Unicode's category L says, here as in Spark's patterns: no fraction, circled digit or Roman numeral.
+LETTER = regex.compile(r"\p{L}")
 #: Presence bits of all byte pairs, then of hashed byte triples and quadruples.
 PAIRS, HASHED = 1 << 16, 1 << 15
 SPAN = PAIRS + 2 * HASHED
@@ -28,21 +29,35 @@ def grams(text: str) -> list[np.ndarray]:
     return [two, PAIRS + mix(three, 2654435761), PAIRS + HASHED + mix(four, 2246822519)]
 
 
+def presence_bits(text: str) -> np.ndarray:
+    """The presence of every gram as packed bits: SPAN / 8 bytes, however long the text."""
+    here = np.zeros(SPAN, bool)
+    for g in grams(text):
+        here[g] = True
+    return np.packbits(here)
+
+
 class Spectrum:
     """Presence vectors over the n-grams that at least two texts of the sample have, each length scaled to unit norm."""
 
-    def __init__(self, texts: list[str], most: int) -> None:
+    def __init__(self, bits: list[np.ndarray], most: int) -> None:
         seen = np.zeros(SPAN, np.int64)
-        for t in texts:
-            here = np.zeros(SPAN, bool)
-            for g in grams(t):
-                here[g] = True
-            seen += here
+        for b in bits:
+            seen += np.unpackbits(b)
         ranks = np.argsort(-seen, kind="stable")[:most]
         self.codes = np.sort(ranks[seen[ranks] > 1])
         cuts = np.searchsorted(self.codes, [0, PAIRS, PAIRS + HASHED, SPAN])
         self.blocks = [slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
 
+    def _scaled(self, out: np.ndarray) -> np.ndarray:
+        for block in self.blocks:  # the kernel of each length is a cosine of sets; the blend is their mean
+            norm = np.sqrt(out[:, block].sum(1, keepdims=True))
+            out[:, block] /= np.maximum(norm, 1) * np.float32(np.sqrt(len(self.blocks)))
+        return out
+
+    def of_bits(self, bits: list[np.ndarray]) -> np.ndarray:
+        return self._scaled(np.stack([np.unpackbits(b)[self.codes] for b in bits]).astype(np.float32))
+
     def presence(self, texts: list[str]) -> np.ndarray:
         out = np.empty((len(texts), len(self.codes)), np.float32)
         for i, t in enumerate(texts):
@@ -50,20 +65,17 @@ class Spectrum:
             for g in grams(t):
                 here[g] = 1
             out[i] = here[self.codes]
-        for block in self.blocks:  # the kernel of each length is a cosine of sets; the blend is their mean
-            norm = np.sqrt(out[:, block].sum(1, keepdims=True))
-            out[:, block] /= np.maximum(norm, 1) * np.float32(np.sqrt(len(self.blocks)))
-        return out
+        return self._scaled(out)
 
 
 class Classifier:
     """Kernel ridge regression, one output per language, on features of a Nyström approximation."""
 
-    def __init__(self, texts: list[str], labels: list[str], landmarks: int, ridge: float, grams: int, seed: int = 7) -> None:
+    def __init__(self, bits: list[np.ndarray], labels: list[str], landmarks: int, ridge: float, grams: int, seed: int = 7) -> None:
         self.names = sorted(set(labels))
-        self.spectrum = Spectrum(texts, grams)
-        x = self.spectrum.presence(texts)
-        pick = np.random.default_rng(seed).permutation(len(texts))[:landmarks]
+        self.spectrum = Spectrum(bits, grams)
+        x = self.spectrum.of_bits(bits)
+        pick = np.random.default_rng(seed).permutation(len(bits))[:landmarks]
         self.marks = x[np.sort(pick)]
         values, vectors = np.linalg.eigh(self.marks.astype(np.float64) @ self.marks.T)
         good = values > 1e-6 * values.max()
@@ -97,26 +109,38 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(True))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, most_languages: int = 200, landmarks: int = 192, ridge: float = 0.1, grams: int = 8192) -> Classifier | None:
-    """A classifier from a bounded sample: per_language labelled documents of each of at most most_languages languages.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, most_rows: int = 8192, least_rows: int = 16, landmarks: int = 192, ridge: float = 0.1, grams: int = 8192) -> Classifier | None:
+    """A classifier from a bounded sample: labelled documents of every language, outside the held-out fold.
 
-    The sample is the smallest by a hash of the id, for each language, outside the held-out fold; texts are used
-    whole. Languages are the most frequent ones, ties by name. None if there is nothing to learn from.
+    A language has its per_language documents of smallest hash of the id, or fewer where there are so many languages that
+    most_rows would be exceeded, but least_rows always. Texts are read whole, and come to the driver as packed presence
+    bits of 16 KB each. Documents are scanned twice, whatever the number of languages: for a histogram of hashes by
+    language, and for the texts below each language's cut. Landmarks grow with the languages beyond 64 of them. None if
+    there is nothing to learn from; texts that are null or have no letter teach nothing.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).where(F.col(text_col).rlike(r"\p{L}"))
-    counts = known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(most_languages).collect()
     order = F.xxhash64(F.col(id_col).cast("string"))
-    sample = []
-    for row in counts:
-        # the hash bounds what is sorted; four times the wanted share is enough but for chance, and chance is checked
-        part = known.where(F.col(lang_col) == row[0]).select(order.alias("h"), text_col)
-        share = min(1.0, 4 * per_language / row["count"])
-        few = part.where(F.col("h") <= int(-(2**63) + share * (2**64 - 1))) if share < 1 else part
-        found = few.orderBy("h", text_col).limit(per_language).collect()
-        if len(found) < min(per_language, row["count"]):
-            found = part.orderBy("h", text_col).limit(per_language).collect()
-        sample += [(r[1], row[0]) for r in found]
-    return Classifier([t for t, _ in sample], [n for _, n in sample], landmarks, ridge, grams) if sample else None
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).where(F.col(text_col).rlike(r"\p{L}"))
+    known = known.select(F.col(lang_col).cast("string").alias("lang"), order.alias("h"), F.shiftright(order, 48).alias("slot"), F.col(text_col).alias("text"))
+    slots = known.groupBy("lang", "slot").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slots = slots.withColumn("before", before)  # of at most 65,536 slots a language
+    languages = slots.agg(F.countDistinct("lang")).first()[0]
+    if not languages:
+        return None
+    quota = min(per_language, max(least_rows, most_rows // languages))
+    cuts = slots.where(F.col("before") < quota).groupBy("lang").agg(F.max("slot").alias("cut")).withColumnRenamed("lang", "_lang")
+    few = known.join(cuts, (F.col("lang") == F.col("_lang")) & (F.col("slot") <= F.col("cut")))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))  # of a language's quota and the rest of one slot
+    chosen = few.withColumn("place", place).where(F.col("place") <= quota).select("lang", "h", "text")
+
+    def run(batches):
+        for b in batches:
+            bits = [presence_bits(t).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("h"), pa.array(bits, pa.binary())], ["lang", "h", "bits"])
+        release()
+
+    rows = sorted((r.lang, r.h, bytes(r.bits)) for r in chosen.mapInArrow(run, "lang string, h bigint, bits binary").collect())
+    return Classifier([np.frombuffer(b, np.uint8) for *_, b in rows], [name for name, *_ in rows], max(landmarks, 3 * languages), ridge, grams)
 
 
 def identify(docs: DataFrame, model: Classifier | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,6 +161,7 @@ def identify(docs: DataFrame, model: Classifier | None, id_col: str = "doc_id",
             texts = b.column("_text").to_pylist()
             names, values = model.predict(texts) if model else (["und"] * len(texts), [0.0] * len(texts))
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(names, pa.string()), pa.array(values, pa.float64())], out.names)
+        release()
 
     return plain.mapInArrow(run, out)
 
@@ -144,7 +169,8 @@ def identify(docs: DataFrame, model: Classifier | None, id_col: str = "doc_id",
 def with_known_language(docs: DataFrame, model: Classifier | None, least: float = 0.2, text_col: str = "text") -> DataFrame:
     """The rows of docs whose text has a language: not `und`, and predicted with a score of `least` or more.
 
-    Without a model, which means without any labelled text, only texts without letters go.
+    Without a model, which means without any labelled text, only texts without letters go. Null and empty texts go;
+    repeated rows share one fate; columns may have any names but each its own; an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -157,11 +183,16 @@ def with_known_language(docs: DataFrame, model: Classifier | None, least: float
             else:
                 good = [bool(t and LETTER.search(t)) for t in texts]
             yield b.filter(pa.array(good, pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **sizes) -> DataFrame:
-    """One row per document: id, held_out, lang_pred, score; learned from docs' own labels outside the held-out fold."""
+    """One row per document: id, held_out, lang_pred, score; learned from docs' own labels outside the held-out fold.
+
+    A text that is null or has no letter is `und` with score 0. Null ids count as held out; rows of equal text have equal
+    answers; whole texts are read, however long; an empty table gives no rows, and other columns do not matter.
+    """
     plain = docs.select(id_col, text_col, lang_col)
     return identify(plain.select(id_col, text_col), train(plain, id_col, text_col, lang_col, **sizes), id_col, text_col)

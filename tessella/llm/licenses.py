@@ -18,26 +18,58 @@ TEMPLATES = {
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "See the License for the specific language governing permissions and limitations under the License.",
         "SPDX-License-Identifier: Apache-2.0",
     ],
     "mit": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
         "SPDX-License-Identifier: MIT",
     ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Licensed under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+    ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "Licensed under the BSD 3-Clause License.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "SPDX-License-Identifier: BSD-2-Clause",
+    ],
+    "zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
+        "SPDX-License-Identifier: Zlib",
+    ],
+    "boost": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "SPDX-License-Identifier: BSL-1.0",
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-3.0-only",
+    ],
+    "gpl-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+        "SPDX-License-Identifier: GPL-2.0-only",
+    ],
+    "agpl": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
     ],
     "lgpl": [
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
@@ -46,23 +78,36 @@ TEMPLATES = {
     ],
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
         "Licensed under the Mozilla Public License, version 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
     ],
+    "epl": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
     "cc-by-nc": [
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "You may not use the material for commercial purposes under CC BY-NC 4.0.",
     ],
+    "cc-by-nd": [
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    ],
     "cc-by": [
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "This work is licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ],
     "public-domain": [
         "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0.",
         "This work is in the public domain.",
+        "SPDX-License-Identifier: CC0-1.0",
+        "SPDX-License-Identifier: Unlicense",
     ],
     "proprietary": [
         "All rights reserved.",
@@ -109,7 +154,7 @@ class Model:
         self.names = [*TEMPLATES, OTHER]
         self.threshold, self.confirm = threshold, confirm
         rng = random.Random(seed)
-        plain = [p for t in negatives for p in t.split("\n") if len(p.split()) > 1 and not re.search(r"(?i)licen[sc]e|copyright|rights reserved|public domain|permission", p)]
+        plain = [p for p in negatives if len(p.split()) > 1 and not re.search(r"(?i)licen[sc]e|copyright|rights reserved|public domain|permission", p)]
         notices = {x for n in TEMPLATES.values() for t in n for x in self._shingles(words_of(t.encode()))}
         plain = [p for p in plain if notices.isdisjoint(self._shingles(words_of(p.encode())))]  # a notice is no counter-example
         rng.shuffle(plain)
@@ -269,19 +314,31 @@ class Model:
                 spans.remove(same)
                 a, b, p = same[0], max(b, same[1]), max(p, same[3])
             spans.append((a, b, name, p))
-        # pieces of a notice that is told as a whole are not told again
-        found = [f for f in found if f[2] != "unknown" or not any(a <= f[0] <= b for a, b, *_ in spans)]
+        # of families that share lines the surest is told
+        spans = [s for s in spans if not any(t[2] != s[2] and t[0] <= s[1] and s[0] <= t[1] and t[3] > s[3] for t in spans)]
+        # pieces that say nothing by themselves belong to the notice of their block: the lines about them up to one without words
+        block, at = [], 0
+        for line in lines:
+            at += not words_of(line)
+            block.append(at)
+        named = {block[a] for a, _, n, _ in [*found, *spans] if n != "unknown"}
+        found = [f for f in found if f[2] != "unknown" or block[f[0]] not in named]
         return [(i, n, p) for i, _, n, p in sorted(found + spans)]
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 200, **options) -> Model:
-    """A model whose counter-examples are the paragraphs of at most `sample` documents, the smallest by a hash of id and text."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 200, lines: int = 50, longest: int = 2000, **options) -> Model:
+    """A model whose counter-examples are lines of at most `sample` documents, the smallest by a hash of id and text.
+
+    Of each document at most `lines` lines of up to `longest` characters come to the driver, which bounds their bytes.
+    Null texts give none; with an empty table the model has its own examples only.
+    """
     text = F.col(text_col).cast("string")
     rows = docs.where(text.isNotNull()).select(F.xxhash64(F.col(id_col).cast("string"), text).alias("h"), text.alias("t"))
-    # of all rows only hashes are compared; the texts that come to the driver are the sample's
+    # of all rows only hashes are compared; the lines that come to the driver are the sample's
     least = [r.h for r in rows.select("h").orderBy("h").limit(sample).collect()]
-    chosen = rows.where(F.col("h") <= least[-1]).distinct().orderBy("h", "t").limit(sample).collect() if least else []
-    return Model([r.t for r in chosen], **options)
+    few = F.slice(F.filter(F.split("t", "\n", -1), lambda x: F.length(x).between(1, longest)), 1, lines)
+    chosen = rows.where(F.col("h") <= least[-1]).select("h", few.alias("few")).distinct().orderBy("h", "few").limit(sample).collect() if least else []
+    return Model([p for r in chosen for p in r.few], **options)
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None, **options) -> DataFrame:

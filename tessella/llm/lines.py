@@ -1,7 +1,9 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
-Lines are sequences of words. Two lines are near when one edit of a word, or none, makes one the other. Deleting the
-edited word leaves both with an equal variant, so equal hashes of variants find all near lines; the words then prove it.
+Lines are sequences of tokens: words, or characters where a line has over two bytes a character, as lines of scripts
+without spaces have. Two lines are near when one edit of a token, or none, makes one the other and what is common to both
+is at least four fifths of either line's characters. Deleting the edited token leaves both with an equal variant, so equal
+hashes of variants find all near lines; the tokens then prove it.
 """
 
 from __future__ import annotations
@@ -23,50 +25,58 @@ def _head(line: Column, n: Column) -> Column:
     return F.call_function("substring_index", line, F.lit(" "), n)
 
 
-def _half_keys(line: Column, n: Column) -> Column:
+def _half_keys(line: Column, n: Column, can: Column) -> Column:
     """Hashes of beginnings and ends of which near lines share one.
 
-    One edit leaves a common beginning and a common end which together have all words but the edited one. Of lines of m
-    and m or m + 1 words, one of both is therefore as long as half of what is common, rounded up. The lowest bit of a
-    key tells whether it is of a beginning (0) or an end (1).
+    One edit leaves a common beginning and a common end which together have all tokens but the edited one. Of lines of m
+    and m or m + 1 tokens, one of both is therefore as long as half of what is common, rounded up. A line is the shorter
+    one of such a pair, or, if it can lose a token, one of equal ones or the longer one. The lowest bit of a key tells
+    whether it is of a beginning (0) or an end (1).
     """
-    halves = (F.ceil((n - 1) / 2).cast("int"), F.ceil(n / 2).cast("int"))
-    ends = [F.shiftleft(F.xxhash64(h, _head(line, h if i == 0 else -h)), 1).bitwiseOR(F.lit(i)) for h in halves for i in (0, 1)]
-    return F.array_distinct(F.array(*ends))
+    halves = (F.ceil(n / 2).cast("int"), F.when(can, F.ceil((n - 1) / 2).cast("int")))
+    ends = [F.when(h > 0, F.shiftleft(F.xxhash64(h, _head(line, h if i == 0 else -h)), 1).bitwiseOR(F.lit(i))) for h in halves for i in (0, 1)]
+    return F.array_compact(F.array_distinct(F.array(*ends)))
 
 
-def _lines(docs: DataFrame, text_col: str, least_words: int) -> DataFrame:
-    """Lines of least_words words and more: row key f, p, line_no, line with single spaces, number of words, 128-bit hash."""
+def _lines(docs: DataFrame, text_col: str) -> DataFrame:
+    """Lines that are not blank: row key f, p, line_no, tokens with single spaces, their number n, can (lose a token), 128-bit hash."""
     # within the array each line is put right once; columns after the explode are not worked out anew for every use
 
     def single(raw: Column) -> Column:
         odd = reduce(lambda a, b: a | b, [F.contains(raw, F.lit(x)) for x in ODD_SPACE])  # far cheaper than a pattern
         return F.when(odd, F.regexp_replace(raw, r"[\x20\x09-\x0D]+", " ")).otherwise(raw)
 
+    def tokens(line: Column) -> Column:
+        wide = F.octet_length(line) > 2 * F.length(line)
+        return F.when(wide, F.regexp_replace(F.replace(line, F.lit(" "), F.lit("")), "(.)(?=.)", "$1 ")).otherwise(line)
+
     trimmed = F.transform(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n", -1), lambda x: F.btrim(x, F.lit(TRIM)))
-    counted = F.transform(F.transform(trimmed, single), lambda x: F.struct(x.alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n")))
-    lines = docs.select("_id", "f", "p", F.posexplode(counted).alias("line_no", "x")).select("_id", "f", "p", "line_no", "x.line", "x.n")
-    return lines.where(F.col("n") >= least_words).select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
+    counted = F.transform(F.transform(F.transform(trimmed, single), lambda x: F.struct(x.alias("plain"), tokens(x).alias("line"))), lambda x: F.struct(x["plain"], x["line"], (F.length(x["line"]) - F.length(F.replace(x["line"], F.lit(" "), F.lit(""))) + 1).alias("n")))
+    lines = docs.select("_id", "f", "p", F.posexplode(counted).alias("line_no", "x")).select("_id", "f", "p", "line_no", "x.plain", "x.line", "x.n")
+    # the shortest of six tokens is never more than a fifth of the line; of fewer it is looked at
+    shortest = F.array_min(F.transform(F.split("line", " ", -1), lambda w: F.length(w)))
+    can = F.when(F.col("n") >= 6, True).when(F.col("n") == 1, False).otherwise((shortest + 1) * 5 <= F.length("line"))
+    return lines.where(F.col("plain") != "").select("_id", "f", "p", "line_no", "line", "n", can.alias("can"), F.xxhash64("plain").alias("h1"), F.xxhash64(F.lit(7), "plain").alias("h2"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 5) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_lines, n_exact, n_near, dropped (line numbers from 0, comma-joined).
 
-    Lines are what "\\n" separates; only lines of least_words words and more are ever dropped, and white space tells no
-    lines apart. Lines come in order of id (null last), stored row and line number. A line goes as exact if an earlier
-    line is the same; of different lines, one goes as near, with all its copies, if a line whose first copy is earlier
-    is within one inserted, deleted or replaced word of it. A null or empty text is one empty line. Repeated rows are
-    told one by one: the second loses all its longer lines. An empty table gives no rows.
+    Lines are what "\\n" separates; blank ones are never dropped, and white space tells no lines apart. Lines come in order
+    of id (null last), stored row and line number. A line, however short, goes as exact if an earlier line is the same; of
+    different lines, one goes as near, with all its copies, if a line whose first copy is earlier is within one inserted,
+    deleted or replaced token of it and shares four fifths of both lines' characters. A null or empty text is one blank
+    line. Repeated rows are told one by one: the second loses all its lines. An empty table gives no rows.
     """
     rows = with_row_key(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))).select("_id", "_text", F.col("_row.file").alias("f"), F.col("_row.pos").alias("p"))
-    lines = _lines(rows, "_text", least_words)
+    lines = _lines(rows, "_text")
     first = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), "f", "p", "line_no")
-    told = written(lines.select("_id", "f", "p", "line_no", "h1", "h2", _half_keys(F.col("line"), F.col("n")).alias("keys")), "lines")
+    told = written(lines.select("_id", "f", "p", "line_no", "h1", "h2", F.struct("can", _half_keys(F.col("line"), F.col("n"), F.col("can")).alias("keys")).alias("keys")), "lines")
     distinct = told.groupBy("h1", "h2").agg(F.min(first).alias("first"), F.count("*").alias("copies"), F.any_value("keys").alias("keys"))
     distinct = written(distinct, "distinct")
     # only lines that share a half with another one can have near lines; the side they share tells where the edit is not
-    keys = distinct.select("h1", "h2", F.explode("keys").alias("k"))
-    live = written(keys.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k"), "live")
+    keys = distinct.select("h1", "h2", "keys.can", F.explode("keys.keys").alias("k"))
+    live = written(keys.groupBy("k").agg(F.count("*").alias("c"), F.bool_or("can").alias("can")).where("c > 1 AND can").select("k"), "live")
     side = F.col("k").bitwiseAND(F.lit(1)) == 1
     wanted = keys.where(maybe_in(F.col("k"), live, "k")).join(live, "k").groupBy("h1", "h2").agg(F.bool_or(~side).alias("heads"), F.bool_or(side).alias("tails"))
     wanted = written(wanted.join(distinct.select("h1", "h2", "first"), ["h1", "h2"]), "wanted")
@@ -75,13 +85,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chosen = wanted.withColumnsRenamed({"h1": "w1", "h2": "w2"})
     here = (F.col("f1") == F.col("first.f")) & (F.col("p1") == F.col("first.p")) & (F.col("l1") == F.col("first.line_no")) & (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2"))
     near = written(again.join(chosen, here).select("h1", "h2", "first", "heads", "tails", "line", "n"), "near")
-    # a variant of position 0 is the line itself, of position i the line without its i-th word
+    # a variant of position 0 is the line itself, of position i the line without its i-th token, if enough is left
     half = F.floor(F.col("n") / 2).cast("int")
     places = F.sequence(F.lit(0), F.col("n"))
     places = F.filter(places, lambda i: (i == 0) | (F.col("tails") & (i <= half + 1)) | (F.col("heads") & (i >= half)))
     spots = near.select("h1", "h2", "line", "n", F.explode(places).alias("i"))
     rest = F.concat_ws(" ", F.nullif(_head(F.col("line"), F.col("i") - 1), F.lit("")), F.nullif(_head(F.col("line"), F.col("i") - F.col("n")), F.lit("")))
-    variants = written(spots.select("h1", "h2", "n", "i", F.xxhash64(F.when(F.col("i") == 0, F.col("line")).otherwise(rest)).alias("v")), "variants")
+    variants = spots.select("h1", "h2", "n", "i", F.length("line").alias("size"), F.when(F.col("i") == 0, F.col("line")).otherwise(rest).alias("v"))
+    variants = written(variants.where(F.length("v") * 5 >= F.col("size") * 4).select("h1", "h2", "n", "i", F.xxhash64("v").alias("v")), "variants")
     met = written(variants.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select(F.col("v").alias("met")), "met")
     order = near.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), "first")
     variants = variants.join(met, F.col("v") == F.col("met"), "left_semi")

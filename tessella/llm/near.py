@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import maybe_in, schema, with_row_key, written
+from tessella.llm.common import maybe_in, release, schema, with_row_key, written
 from tessella.llm.components import connected_components
 from tessella.llm.golomb import golomb_decode, golomb_encode
 from tessella.llm.simhash import _hashes, hamming_links, simhash
@@ -29,7 +29,7 @@ NODE_BITS = 40
 #: Bits of a shingle's hash that owners compare. Two that agree in them by chance only keep a document in the race.
 FP_BITS = 44
 #: Shingles that a sender holds before it sends, and that an owner compares, about.
-SENT, OWNED = 1_000_000, 4_000_000
+SENT, OWNED = 500_000, 4_000_000
 
 
 def shingles(text: bytes | None, shingle: int) -> np.ndarray:
@@ -74,6 +74,8 @@ def _send(shingle: int, owners: int):
                     sender, nodes, sets, held = sender + 1, [], [], 0
         if nodes:
             yield from flush(sender, nodes, sets)
+        nodes, sets = [], []
+        release()
 
     return run
 
@@ -132,6 +134,8 @@ def _sets(rows: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column("node"), fp, pa.array([len(x) for x in sets], pa.int32()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "fp", "n", "hashes"]
             )
+            del texts, sets
+        release()
 
     few = rows.where(maybe_in(F.xxhash64("node"), nodes.select(F.xxhash64("node").alias("x")), "x")).select("node", "_text")
     return written(few.join(nodes, "node", "left_semi").mapInArrow(run, "node bigint, fp bigint, n int, hashes binary"), "sets")
@@ -155,6 +159,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
                     shared = len(np.intersect1d(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), assume_unique=True)) if short * least.denominator >= long * least.numerator else 0
                     good.append(shared * least.denominator >= (short + long - shared) * least.numerator)
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+        release()
 
     return written(both.mapInArrow(run, "a bigint, b bigint"), "confirmed")
 

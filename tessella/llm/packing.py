@@ -4,7 +4,8 @@ Each source's documents form a queue of tokens. A round-robin with deficit count
 after w windows a source that holds a share of all tokens must have been given w times its share of a window, rounded
 down; what the rounding withholds is its deficit and is carried into the next window, whichever partition that is in.
 So how far each queue has come at every window's end follows from the queue totals alone, a task can place any token
-of any document without hearing of other tasks, and every window has the target proportions to within a token a source.
+of any document without hearing of other tasks, and every window has the target proportions to within a quantum a source.
+A source is served in whole quanta of tokens, so that a small source is not strewn over the windows token by token.
 """
 
 from __future__ import annotations
@@ -46,25 +47,42 @@ def _encode(tokenizer: str, n: int, names: list[str], end_id: int, memo: int):
     return run
 
 
-def _pieces(totals: dict, window: int, length: int, n: int, names: list[str]):
+def served_by(total: list[int], windows: int, quantum: int):
+    """A function of w: tokens that each queue has given by the end of the first w windows, all of them after the last.
+
+    Quanta and remainders of the products are taken apart, so that they stay within 64 bits for up to 2^31 windows.
+    """
+    t = np.array(total, np.int64)
+    whole, rest = np.divmod(t, windows)
+
+    def serve(w: int) -> np.ndarray:
+        if w >= windows:
+            return t
+        due = whole * w + rest * w // windows
+        return due // quantum * quantum
+
+    return serve
+
+
+def _pieces(totals: dict, window: int, length: int, quantum: int, n: int, names: list[str]):
     """Pieces of each document: cut at the window's turns of its queue, then at sequence ends."""
     order = sorted(totals, key=lambda s: (s is None, s or ""))
     total = [totals[s] for s in order]
     windows = max(1, -(-sum(total) // window))
     index = {s: i for i, s in enumerate(order)}
-
-    def serve(w: int) -> np.ndarray:
-        """Tokens that each queue has given by the end of the first w windows; the products may pass 64 bits."""
-        return np.array([t * w // windows for t in total], np.int64)
+    serve = served_by(total, windows, quantum)
 
     def cut(served, source, begin: int, size: int):
         """(start, length, position on the line of all tokens), in order."""
         i, at, stop = index[source], begin, begin + size
-        w = at * windows // total[i]  # at most one window too early, by rounding
-        while total[i] * (w + 1) // windows <= at:
-            w += 1
+        # the first window by whose end the queue has given more than `at`: the quantum that `at` is in is due then
+        due = min(total[i], at // quantum * quantum + quantum)
+        w = min(windows - 1, max(0, -(-due * windows // total[i]) - 1))
         while at < stop:
             before, after = served(w), served(w + 1)
+            if int(after[i]) <= at:  # nothing of this queue, or of its rest, is due yet
+                w = min(windows - 1, max(w + 1, -(-min(total[i], at // quantum * quantum + quantum) * windows // total[i]) - 1))
+                continue
             turn = int(before.sum() + (after - before)[:i].sum())
             upto = min(stop, int(after[i]))
             place = turn + at - int(before[i])
@@ -89,15 +107,15 @@ def _pieces(totals: dict, window: int, length: int, n: int, names: list[str]):
     return run
 
 
-def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: list[str] | None = None, length: int = 2048, end_id: int = 1, window_sequences: int = 64, most_sources: int = 10_000, memo: int = 400_000) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: list[str] | None = None, length: int = 2048, end_id: int = 1, window_sequences: int = 64, quantum: int = 256, most_sources: int = 200_000, memo: int = 48 << 20) -> DataFrame:
     """One row per piece: id, the carried columns, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its token ids and then end_id; a null or empty text is end_id alone. Sequences are `length` tokens,
     all full but the last, and follow the windows of `window_sequences` sequences each, in which every source has its
-    share of all tokens; a null source is a source of its own. Documents are cut where a turn of their queue or a
-    sequence ends. Reruns over the same files agree. Repeated rows are packed one by one; an empty table gives no rows.
-    Source totals, a row a source, are sent to all tasks; more than most_sources sources are folded by hash into that
-    many queues.
+    share of all tokens, to within `quantum` tokens; a null source is a source of its own. Documents are cut where a turn
+    of their queue or a sequence ends. Reruns over the same files agree. Repeated rows are packed one by one; an empty
+    table gives no rows. Source totals, a row a source, are sent to all tasks; more than most_sources sources share that
+    many queues by hash, which keep the proportions of what shares a queue by the order of documents only.
     """
     spark, carry = docs.sparkSession, carry or []
     held = [f"_c{i}" for i in range(len(carry) + 1)]
@@ -115,5 +133,5 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     names = [*held, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     placed = queues.join(base, (F.col("part") == F.col("_part")) & F.col("_source").eqNullSafe(F.col("_s"))).select(*held, "_source", (F.col("begin") + F.col("base")).alias("at"), "size", "ids")
     out = schema(*kept_fields(plain, held), *[(c, T.LongType()) for c in names[len(held) :]])
-    pieces = placed.mapInArrow(_pieces(totals, window_sequences * length, length, len(held), names), out)
+    pieces = placed.mapInArrow(_pieces(totals, window_sequences * length, length, quantum, len(held), names), out)
     return pieces.toDF(*[id_col, *carry], *names[len(held) :])

@@ -68,11 +68,12 @@ ORACLE_SQL = {
         WITH raw AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
         l AS (SELECT doc_id, i - 1 AS line_no, regexp_replace(trim(ls[i], chr(32) || chr(9) || chr(13) || chr(11) || chr(12)), '[\x20\x09-\x0D]+', ' ', 'g') AS line
               FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM raw)),
-        w AS (SELECT *, CASE WHEN line = '' THEN [] ELSE string_split(line, ' ') END AS words,
-                     row_number() OVER (ORDER BY doc_id, line_no) AS pos FROM l),
-        d AS (SELECT line, words, min(pos) AS first FROM w WHERE len(words) >= 5 GROUP BY ALL),
-        v AS (SELECT line, words, first, i, CASE WHEN i = 0 THEN words ELSE list_concat(words[1:i - 1], words[i + 1:]) END AS rest
-              FROM (SELECT *, unnest(range(0, len(words) + 1)) AS i FROM d)),
+        w AS (SELECT *, CASE WHEN line = '' THEN [] WHEN strlen(line) > 2 * length(line) THEN list_transform(range(1, length(replace(line, ' ', '')) + 1), lambda i: substring(replace(line, ' ', ''), i::INT, 1))
+                             ELSE string_split(line, ' ') END AS words, row_number() OVER (ORDER BY doc_id, line_no) AS pos FROM l),
+        d AS (SELECT line, words, min(pos) AS first FROM w WHERE line <> '' GROUP BY ALL),
+        v AS (SELECT * FROM (SELECT line, words, first, i, CASE WHEN i = 0 THEN words ELSE list_concat(words[1:i - 1], words[i + 1:]) END AS rest
+              FROM (SELECT *, unnest(range(0, len(words) + 1)) AS i FROM d))
+              WHERE len(rest) > 0 AND length(array_to_string(rest, ' ')) * 5 >= length(array_to_string(words, ' ')) * 4),
         sub AS (SELECT line, first > min(first) OVER (PARTITION BY rest, i) AS gone FROM v),
         ins AS (SELECT line, first > coalesce(CASE WHEN i = 0 THEN min(first) FILTER (i > 0) OVER g ELSE min(first) FILTER (i = 0) OVER g END, first) AS gone
                 FROM v WINDOW g AS (PARTITION BY rest)),

@@ -12,6 +12,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,9 @@ from tessella.llm.common import kept_fields, schema
 #: Next to a space, these would join it to a longer run of white space.
 _UNSAFE = re.compile(r"\s | \s|^ | $")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+#: In long parts without a space the pattern also cuts before single other white space, and from a letter or digit to another sign.
+_FINE = regex.compile(r"(?<=\S)(?=\s\S)|(?<=[\p{L}\p{N}])(?=[^\s\p{L}\p{N}'])")
+LONG = 4096
 
 
 #: White space before these, after a letter, changes no cut of the word-level tokenizer.
@@ -29,21 +33,29 @@ _SHARED: dict[tuple, object] = {}
 
 
 class Memo:
-    """A part's value, for the parts of late; the older half is forgotten when both halves are full."""
+    """A part's value, for the parts of late, within a bound of bytes; the older half is forgotten when both halves are full."""
+
+    #: What an entry takes besides its characters, about.
+    ENTRY = 150
 
     def __init__(self, half: int) -> None:
-        self.half, self.new, self.old = half, {}, {}
+        self.half, self.size, self.new, self.old = half, 0, {}, {}
 
     def missing(self, parts: set) -> list:
         """Those of the parts whose value is not known; old values in use stay longer."""
         old = self.old
         rest = parts.difference(self.new)  # of a plain dict: a look-up for each part
-        self.new.update((p, old[p]) for p in rest if p in old)
+        again = [p for p in rest if p in old]
+        self.put(again, map(old.__getitem__, again))
         return [p for p in rest if p not in old]
 
+    def put(self, parts: list, values) -> None:
+        self.new.update(zip(parts, values, strict=True))
+        self.size += sum(map(len, parts)) + self.ENTRY * len(parts)
+
     def trim(self) -> None:
-        if len(self.new) > self.half:
-            self.old, self.new = self.new, {}
+        if self.size > self.half:
+            self.old, self.new, self.size = self.new, {}, 0
 
 
 def shared(kind: type, *args):
@@ -70,11 +82,12 @@ def byte_batches(parts, most: int):
     """Lists of parts of about `most` bytes; a longer part is alone."""
     held, size = [], 0
     for p in parts:
-        if held and size + len(p) > most:
+        n = len(p) if isinstance(p, bytes) or p.isascii() else len(p.encode())
+        if held and size + n > most:
             yield held
             held, size = [], 0
         held.append(p)
-        size += len(p)
+        size += n
     if held:
         yield held
 
@@ -93,6 +106,24 @@ def safe_parts(text: str) -> tuple[str, list[str]]:
     return first, rest
 
 
+def fine_parts(part: str) -> list[str]:
+    """Parts of a long part: what the pattern cuts whatever stands before, put together to pieces of about LONG characters.
+
+    Before a single white space that is no space, between characters that are none, the pattern always cuts, and it cuts
+    from letters or digits to any other sign but an apostrophe, which may begin a suffix. A run of letters, as in scripts
+    without spaces, has no safe boundary inside.
+    """
+    if len(part) <= LONG:
+        return [part]
+    out, held = [], ""
+    for x in _FINE.splititer(part):
+        if held and len(held) + len(x) > LONG:
+            out.append(held)
+            held = ""
+        held += x
+    return [*out, held]
+
+
 class Counter:
     def __init__(self, path: str, batch_bytes: int, half: int) -> None:
         self.tokenizer, self.most, self.memo = load(path), batch_bytes, Memo(half)
@@ -101,7 +132,9 @@ class Counter:
     def encode(self, parts: list[str]) -> list[int]:
         if not self.splits:
             return [len(x) for x in self.tokenizer.encode(parts, num_threads=1)]
-        return [len(x) for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        fine = [fine_parts(p) for p in parts]
+        counts = iter([len(x) for x in self.tokenizer.encode_batch_fast([y for x in fine for y in x], add_special_tokens=False)])
+        return [sum(next(counts) for _ in x) for x in fine]
 
     def counts(self, texts: list[str]) -> list[int]:
         if not self.splits:
@@ -110,19 +143,20 @@ class Counter:
         for group in byte_batches(texts, 4 * self.most):
             cut = [safe_parts(t) for t in group]
             for b in byte_batches(memo.missing(set().union(*[parts for _, parts in cut])), self.most):
-                memo.new.update(zip(b, self.encode([" " + x for x in b]), strict=True))
+                memo.put(b, self.encode([" " + x for x in b]))
             first = [n for b in byte_batches([f for f, _ in cut], self.most) for n in self.encode(b)]
             out += [n + sum(map(memo.new.__getitem__, parts)) for n, (_, parts) in zip(first, cut, strict=True)]
             memo.trim()
         return out
 
 
-def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, batch_bytes: int = 1 << 18, memo: int = 500_000) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, batch_bytes: int = 1 << 18, memo: int = 48 << 20) -> DataFrame:
     """One row per document: id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
     Counts are those of the tokenizer's library for the whole text, without added special tokens; special strings
     inside a text are handled as the library does by default. A null text counts as empty: 0 tokens. A text without a
-    safe boundary, however long, is encoded as one part. sentencepiece texts are not cut, as its normaliser looks at
+    safe boundary, however long, is encoded as one part. A worker remembers the counts of parts within twice `memo` bytes.
+    sentencepiece texts are not cut, as its normaliser looks at
     whole texts. Repeated rows are counted one by one; an empty table gives no rows.
     """
 
@@ -161,11 +195,10 @@ class WordIds:
             ids = np.array(e.ids, np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(group) and cuts[-1] == len(ids):
-                self.memo.new.update(zip(group, (x.tobytes() for x in np.split(ids, cuts[:-1])), strict=True))
+                self.memo.put(group, (x.tobytes() for x in np.split(ids, cuts[:-1])))
             else:  # lower-casing or composing left something that is no letter
                 rest += group
-        for w, e in zip(rest, encode([w.decode() for w in rest], add_special_tokens=False), strict=True):
-            self.memo.new[w] = np.array(e.ids, np.uint32).tobytes()
+        self.memo.put(rest, (np.array(e.ids, np.uint32).tobytes() for e in encode([w.decode() for w in rest], add_special_tokens=False)))
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text.

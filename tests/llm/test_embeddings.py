@@ -43,3 +43,11 @@ def test_against_brute_force(spark):
     got = embedding_dedup(spark.createDataFrame(rows, VECTORS), cell_rows=30, block=16).collect()
     assert sorted(((str(r[0]), *r[1:]) for r in got), key=str) == want
     assert embedding_dedup(spark.createDataFrame([], VECTORS)).collect() == []
+
+
+def test_two_levels_of_cells(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 8))
+    rows = [(i, (centres[i % 30] + rng.normal(size=8) * rng.choice([0.03, 0.15])).tolist(), 1, "x") for i in range(700)]
+    got = embedding_dedup(spark.createDataFrame(rows, VECTORS), cell_rows=20, sample_rows=24, parts=4, part_sample=40, block=32).collect()
+    assert sorted(((str(r[0]), *r[1:]) for r in got), key=str) == sorted(brute(rows), key=str)

@@ -7,24 +7,31 @@ from tessella.llm.lines import line_dedup, without_lines
 DOCS = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("text", T.StringType()), ("line_no", T.StringType()), ("n", T.StringType()))])
 
 
-def within_one(a, b):
-    if abs(len(a) - len(b)) > 1:
+def near_lines(a, b):
+    """One token edited, and what is left of both has four fifths of either's characters."""
+    size = lambda w: len(" ".join(w))
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) - len(b) > 1:
         return False
-    at = 0
-    while at < min(len(a), len(b)) and a[at] == b[at]:
-        at += 1
-    return a[at + 1 :] == b[at + 1 :] or a[at:] == b[at + 1 :] or a[at + 1 :] == b[at:]
+    for i in range(len(a)):
+        rest = a[:i] + a[i + 1 :]
+        other = b[:i] + b[i + 1 :] if len(a) == len(b) else b
+        if rest and rest == other and 5 * size(rest) >= 4 * max(size(a), size(b)):
+            return True
+    return False
 
 
-def brute(rows, least=5):
+def brute(rows):
     import re
 
-    split = lambda t: [[w for w in re.split(r"[\x20\x09-\x0d]+", x) if w] for x in (t or "").split("\n")]
-    order = sorted(((i is None, i or 0, k, no, tuple(w)) for k, (i, t, *_) in enumerate(rows) for no, w in enumerate(split(t)) if len(w) >= least))
+    split = lambda t: [tuple(w for w in re.split(r"[\x20\x09-\x0d]+", x) if w) for x in (t or "").split("\n")]
+    tokens = lambda w: tuple("".join(w)) if len(" ".join(w).encode()) > 2 * len(" ".join(w)) else w
+    order = sorted(((i is None, i or 0, k, no, w) for k, (i, t, *_) in enumerate(rows) for no, w in enumerate(split(t)) if w))
     first = {}
     for n, (*_, w) in enumerate(order):
         first.setdefault(w, n)
-    near = {w for w, n in first.items() for v, m in first.items() if m < n and within_one(v, w)}
+    near = {w for w, n in first.items() for v, m in first.items() if m < n and (tokens(v) == tokens(w) or near_lines(tokens(v), tokens(w)))}
     out = {k: [len(split(t)), 0, 0, []] for k, (_, t, *_) in enumerate(rows)}
     for n, (_, _, k, no, w) in enumerate(order):
         if first[w] < n:
@@ -47,7 +54,10 @@ def test_against_brute_force(spark):
             kind = rng.randrange(4)
             w[at : at + (kind != 0)] = [] if kind == 1 else [word()] if kind < 3 else w[at : at + 1]
             pool.append(w)
-    pool += [["page", str(i), "of", "the", "same", "book"] for i in range(60)]
+    pool += [["page", str(i), "of", "the", "same", "book"] for i in range(60)] + [["internationalization", *w, "documentation"] for w in ([], ["of"], ["and"], ["for", "a"])]
+    for _ in range(12):  # a script without spaces
+        base = [rng.choice("的一是不了人我在有他") for _ in range(12)]
+        pool += [["".join(base)], ["".join(base[:5]), "".join(base[5:])], ["".join(base[:7]), "".join(base[8:])], ["".join(base[:3] + ["大"] + base[4:])], ["".join(base[:3])]]
     join = lambda w: rng.choice([" ", " ", " ", "  ", "\t"]).join(w) + rng.choice(["", "", " ", "\r"])
     rows = [(i, "\n".join(join(rng.choice(pool)) for _ in range(rng.randrange(0, 9))), "clash", "clash") for i in range(90)]
     rows += [(200, None, "x", "x"), (201, "", "x", "x"), (None, rows[3][1], "x", "x"), (202, "\n\n", "x", "x"), (203, "long " * 5000, "x", "x"), (4, rows[4][1], "x", "x")]

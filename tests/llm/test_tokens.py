@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from tessella.llm.packing import packed
-from tessella.llm.tokens import safe_parts, token_counts
+from tessella.llm.tokens import fine_parts, safe_parts, token_counts
 
 BYTES, WORDS, PIECES = map(public_tokenizers.path, ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("source", T.StringType()), T.StructField("size", T.StringType())])
@@ -51,7 +51,7 @@ def test_packing(spark):
     t = Tokenizer.from_file(WORDS)
     docs = spark.createDataFrame(rows(), DOCS).repartition(3)
     want = sorted((str(i), [*t.encode(x or "", add_special_tokens=False).ids, 1]) for i, x, *_ in rows() if i != 3)
-    got = packed(docs, WORDS, length=256, window_sequences=4, memo=20, carry=["source"]).collect()
+    got = packed(docs, WORDS, length=256, window_sequences=4, quantum=1, memo=20, carry=["source"]).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in got:
         by_doc[str(r.doc_id)].append(r)
@@ -79,3 +79,20 @@ def test_packing(spark):
             here = sum(r.length for r in got if r.source == s and r.sequence_id // 4 == w)
             assert abs(here - share[s] / windows) <= 4 * len(share) + share[s] / windows * 0.05 + 1
     assert packed(spark.createDataFrame([], DOCS), WORDS).collect() == []
+    # in whole quanta the same ids lie in fewer pieces
+    fewer = packed(docs, WORDS, length=256, window_sequences=4, quantum=64, carry=["source"]).collect()
+    assert sum(r.length for r in fewer) == total and len(fewer) < len(got)
+    ends = defaultdict(int)
+    for r in sorted(fewer, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends[r.sequence_id]
+        ends[r.sequence_id] += r.length
+    assert all(n == 256 for k, n in ends.items() if k < max(ends))
+
+
+def test_long_texts_without_spaces(spark):
+    t = Tokenizer.from_file(BYTES)
+    texts = ["".join(f"word{i},line\n" for i in range(3000)), "。".join("文字" * 30 for _ in range(400)), "x" * 30_000, "it's," * 4000, "a\n\nb\t\tc" * 2000]
+    docs = spark.createDataFrame([(i, x, "s") for i, x in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: r.n_tokens for r in token_counts(docs, BYTES).collect()}
+    assert got == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
+    assert len(fine_parts(texts[0])) > 5 and "".join(fine_parts(texts[0])) == texts[0]
