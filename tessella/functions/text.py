@@ -8,8 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NOT_WORD = r"[^\p{L}\p{Nd}]+"
-#: Particles that a Hangul word may end with, longest first.
-PARTICLES = ["으로부터", "에서는", "으로", "에서", "까지", "부터", "에게", "처럼", "보다", "마다", "이나", "은", "는", "이", "가", "을", "를", "에", "의", "도"]
+#: Particles that are tried in this order.
+PARTICLES = ["으로", "에서", "에게", "한테", "보다", "까지", "부터", "을", "를", "이", "가", "은", "는", "의", "로", "와", "과", "도", "만", "에"]
 CJK = r"[\p{IsHangul}\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
 
 
@@ -44,6 +44,13 @@ def hangul_tokens(text: Column) -> Column:
     return F.flatten(F.transform(runs, lambda r: F.when(F.regexp_like(r, F.lit("^[가-힣]")), bigrams(r)).otherwise(F.array(r))))
 
 
+def index_tokens(text: Column) -> Column:
+    """Words, but with each Hangul run of a word as its bigrams and what is around it as words of their own."""
+    plain = words(text)
+    split = F.flatten(F.transform(plain, lambda w: F.when(F.regexp_like(w, F.lit("[가-힣]")), hangul_tokens(w)).otherwise(F.array(w))))
+    return F.when(F.regexp_like(text, F.lit("[가-힣]")), split).otherwise(plain)
+
+
 def number_plain(word: Column) -> Column:
     """5,000 as 5000: commas of well-grouped numbers go."""
     return F.when(F.regexp_like(word, F.lit(r"^\d{1,3}(,\d{3})+$")), F.replace(word, F.lit(","))).otherwise(word)
@@ -119,6 +126,31 @@ def content_words(text: Column) -> Column:
     return F.filter(found, lambda w: F.length(w) >= F.when(F.regexp_like(w, F.lit("^[가-힣]")), 2).otherwise(3))
 
 
+#: Tails of nouns, and tails of predicates, that are tried in this order.
+NOUN_TAILS = [
+    "에서는", "에게는", "에서", "에게", "까지", "부터", "으로", "보다", "처럼", "마다", "만큼", "이라", "라는", "라고", "이는", "은", "는", "이", "가", "을", "를", "의", "에", "와", "과", "도", "로", "만",
+]
+PREDICATE_TAILS = ["였다", "었다", "겠다", "한다", "된다", "이다", "않다", "린다", "든다", "난다", "간다", "온다", "본다", "쓴다", "묻다", "다"]
+
+
+def noun_words(text: Column) -> Column:
+    """Content words without particles; Hangul words that are a particle or end like a predicate are none."""
+    hangul = lambda w: F.regexp_like(w, F.lit("^[가-힣]"))
+    predicate = lambda w: F.regexp_like(w, F.lit(f"^.+(?:{'|'.join(PREDICATE_TAILS)})$"))
+
+    def bare(w: Column) -> Column:
+        return F.coalesce(*[F.when(hangul(w) & F.endswith(w, F.lit(t)) & (F.length(w) >= len(t) + 2), F.left(w, F.length(w) - len(t))) for t in NOUN_TAILS], w)
+
+    return F.transform(F.filter(content_words(text), lambda w: ~(hangul(w) & (w.isin(*NOUN_TAILS) | predicate(w)))), bare)
+
+
+def contains_word(body: Column, word: Column) -> Column:
+    """The word itself, or for three letters and more at least half of its letter pairs, is in the body."""
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))), lambda i: F.substring(word, i, F.lit(2)))
+    some = F.size(F.filter(pairs, lambda p: F.contains(body, p))) * 2 >= F.length(word) - 1
+    return F.contains(body, word) | ((F.length(word) >= 3) & some)
+
+
 def lines(body: Column) -> Column:
     return F.split(body, "\n", -1)
 
@@ -233,6 +265,17 @@ def source_kind(source: Column) -> Column:
     return F.when(F.contains(source, F.lit(":")), F.substring_index(source, ":", 1)).otherwise("")
 
 
+# Fixed value: the source of notes that a migration found none for.
+MIGRATED = "note:이전됨 — v0.1 규격이라 근거가 안 적혀 있다"
+
+
+def source_keys(sources: Column) -> Column:
+    """Sources as keys: lower case, line marks of files cut, placeholders of migrated notes and blank ones left out."""
+    low = F.transform(F.coalesce(sources, F.array().cast("array<string>")), lambda s: F.lower(F.btrim(s)))
+    cut = F.transform(low, lambda s: F.when(F.startswith(s, F.lit("note:")), s).otherwise(F.substring_index(s, "#", 1)))
+    return F.array_distinct(F.filter(cut, lambda s: (s != "") & (s != MIGRATED)))
+
+
 def mem_sources(sources: Column) -> Column:
     return F.transform(F.filter(sources, lambda s: F.startswith(s, F.lit("mem:"))), lambda s: F.substring(s, F.lit(5), F.length(s)))
 

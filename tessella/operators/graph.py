@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.storage import checkpointed
+
 
 def used_by(edges: DataFrame, notes: DataFrame) -> DataFrame:
     """(id, user, kind): who refers to a note; a source counts before a link."""
@@ -16,11 +18,11 @@ def used_by(edges: DataFrame, notes: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root) of edges(a, b): root is the smallest node; labels jump along themselves, so long chains close fast."""
     both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct()
-    label = both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).select(F.col("a").alias("node"), "root").checkpoint()
+    label = checkpointed(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).select(F.col("a").alias("node"), "root"))
     for _ in range(rounds):
         near = both.join(label.toDF("b", "r"), "b").groupBy("a").agg(F.min("r").alias("near"))
         step = label.join(near, F.col("node") == F.col("a"), "left").select("node", F.least("root", F.coalesce("near", "root")).alias("root"))
-        new = step.join(step.toDF("x", "up"), F.col("root") == F.col("x"), "left").select("node", F.coalesce("up", "root").alias("root")).checkpoint()
+        new = checkpointed(step.join(step.toDF("x", "up"), F.col("root") == F.col("x"), "left").select("node", F.coalesce("up", "root").alias("root")))
         changed = new.join(label.toDF("node", "was"), "node").where("root <> was").head(1)
         label = new
         if not changed:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 from datetime import date, timedelta
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import predicates as P
 from tessella.functions import text as X
-from tessella.operators import index
+from tessella.operators.index import FIELDS, Index
 from tessella.schema import type_spec
 
 K1, B, SOFTENER, DEPTH = 1.2, 0.4, 10.0, 50
@@ -83,33 +84,44 @@ def parse_query(text: str, as_of: str, stopwords: set[str] = frozenset(), most:
     return q
 
 
-def matched(notes: DataFrame, terms: list[str], fields: list[str] | None = None) -> DataFrame:
-    """(id, lengths, per field the array of its tokens that are query terms): no token is exploded that no term asks for."""
-    fields = fields or list(index.FIELDS)
-    wanted = F.array(*map(F.lit, terms))
-    tokens = index.field_tokens(notes)
-    return tokens.select("id", *[F.size(f).cast("long").alias(f"len_{f}") for f in fields], *[F.filter(f, lambda t: F.array_contains(wanted, t)).alias(f) for f in fields])
+def contribution(index: Index, dfs: dict[str, int], weights: dict[str, float]) -> Column:
+    """What a posting adds to its note's BM25F score: idf ln((N-df+.5)/(df+.5)), 1e-6 at least, times each field's share."""
+    n = index.statistics["n"]
+    idf = F.element_at(F.create_map(*[F.lit(x) for t, df in dfs.items() for x in (t, max(math.log((n - df + 0.5) / (df + 0.5)), 1e-6))]), F.col("term")) if dfs else F.lit(0.0)
+    total = F.lit(0.0)
+    for f, w in weights.items():
+        tf, norm = F.col(f"tf_{f}"), 1 - B + B * F.col(f"len_{f}") / F.lit(float(index.statistics[f] or 1.0))
+        total = total + F.when(tf > 0, w * idf * tf * (K1 + 1) / (tf + K1 * norm)).otherwise(0.0)
+    return total
+
 
+def bm25(index: Index, terms: list[str], weights: dict[str, float] | None = None) -> DataFrame:
+    """(id, score, hits) of notes that have a term in one of the weighted fields; only the terms' postings are read."""
+    weights = weights or FIELDS
+    only = next(iter(weights)) if len(weights) == 1 else None
+    dfs = index.frequencies(terms, only)
+    rows = index.matches([*dfs]).where(" OR ".join(f"tf_{f} > 0" for f in weights))
+    return rows.groupBy("id").agg(F.round(F.sum(contribution(index, dfs, weights)), 9).alias("score"), F.count("*").alias("hits"))
 
-def _if_equal(term: str):
-    return lambda t: F.when(t == term, t)
 
+def batch_bm25(index: Index, queries: DataFrame, weights: dict[str, float] | None = None, field: str | None = None, depth: int = DEPTH) -> DataFrame:
+    """(case, id, score, rank) of queries(case, term): the first `depth` notes of each; terms meet postings in one join.
 
-def bm25(notes: DataFrame, terms: list[str], weights: dict[str, float] | None = None) -> DataFrame:
-    """(id, score, hits) of notes that have a term: field-weighted BM25 with idf ln((N-df+.5)/(df+.5)), 1e-6 at least."""
-    weights = weights or index.FIELDS
-    rows = matched(notes, terms, list(weights))
-    has = lambda t: F.greatest(*[F.array_contains(f, F.lit(t)).cast("int") for f in [*weights, *weights][: max(2, len(weights))]])
-    stats = rows.agg(F.count("*").alias("n"), *[F.avg(f"len_{f}").alias(f"avg_{f}") for f in weights], *[F.coalesce(F.sum(has(t)), F.lit(0)).alias(f"df_{i}") for i, t in enumerate(terms)])
-    some = rows.where(" OR ".join(f"size({f}) > 0" for f in weights)).crossJoin(F.broadcast(stats))  # one row
+    The join's sides are shuffled by term unless the queries are few; a case has as many rows as postings of its terms.
+    """
+    weights = weights or FIELDS
+    n = float(index.statistics["n"])
+    words = index._vocabulary.select("term", F.col(f"docs_{field}" if field else "docs").alias("df")).where("df > 0")
+    idf = F.greatest(F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    asked = queries.distinct().join(words, "term").withColumn("idf", idf)
     total = F.lit(0.0)
-    for i, t in enumerate(terms):
-        idf = F.greatest(F.ln((F.col("n") - F.col(f"df_{i}") + 0.5) / (F.col(f"df_{i}") + 0.5)), F.lit(1e-6))
-        for f, w in weights.items():
-            tf = F.size(F.array_compact(F.transform(f, _if_equal(t))))
-            norm = 1 - B + B * F.col(f"len_{f}") / F.col(f"avg_{f}")
-            total = total + F.when(F.array_contains(f, F.lit(t)), w * idf * tf * (K1 + 1) / (tf + K1 * norm)).otherwise(0.0)
-    return some.select("id", F.round(total, 9).alias("score"), sum([has(t) for t in terms[1:]], has(terms[0])).cast("long").alias("hits"))
+    for f, w in weights.items():
+        tf, norm = F.col(f"tf_{f}"), 1 - B + B * F.col(f"len_{f}") / F.lit(float(index.statistics[f] or 1.0))
+        total = total + F.when(tf > 0, w * F.col("idf") * tf * (K1 + 1) / (tf + K1 * norm)).otherwise(0.0)
+    rows = asked.join(index._postings.where(" OR ".join(f"tf_{f} > 0" for f in weights)), "term")
+    scores = rows.groupBy("case", "id").agg(F.round(F.sum(total), 9).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("case").orderBy(F.desc("score"), "id"))
+    return scores.withColumn("rank", rank).where(F.col("rank") <= depth)
 
 
 def top(scored: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -137,13 +149,28 @@ def phrase_match(notes: DataFrame, phrase: Column | str) -> Column:
     return F.contains(F.concat_ws("\n", "title", "summary", "body"), p)
 
 
-def coverage(notes: DataFrame, terms: list[str]) -> DataFrame:
-    """ids that have enough of the terms: a majority of terms must occur at all, and half of those, rounded up, in the note."""
-    tokens = F.array_distinct(F.flatten(F.array(*[F.coalesce(X.words(t), F.array().cast("array<string>")) for t in index.field_texts(notes).values()])))
-    found = notes.select("id", F.array_intersect(tokens, F.array(*map(F.lit, terms))).alias("has")).where("size(has) > 0")
-    real = found.agg(F.size(F.array_distinct(F.flatten(F.collect_set("has")))).alias("real"))  # sets of at most eight words
-    need = F.greatest(F.lit(1), F.floor((F.col("real") + 1) / 2))
-    return found.crossJoin(F.broadcast(real)).where((F.col("real") >= P.majority_of(len(terms))) & (F.size("has") >= need)).select("id", F.size("has").alias("covered"))
+def phrase_documents(index: Index, notes: DataFrame, asked: DataFrame, key: str = "item_id") -> DataFrame:
+    """(key, id) of notes that contain a phrase of asked(key, phrase) literally.
+
+    A note can only contain a phrase whose inner words it has: each phrase looks up the postings of its rarest inner word,
+    and only those notes' texts are compared. The first and the last word may be parts of longer ones and do not count. A
+    phrase without an inner word that the store has is in no note, unless it has none at all: such are looked for by text.
+    """
+    inner = F.expr("slice(words, 2, greatest(size(words) - 2, 0))")
+    rows = asked.select(key, "phrase", X.index_tokens(F.col("phrase")).alias("words")).select(key, "phrase", F.array_distinct(inner).alias("words"))
+    words = rows.where("size(words) > 0").select(key, "phrase", F.explode("words").alias("term"))
+    known = words.join(index._vocabulary.select("term", "docs"), "term", "left").groupBy(key, "phrase").agg(F.min(F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "term")).alias("rare"))
+    maybe = known.where("rare.docs > 0").select(key, "phrase", F.col("rare.term").alias("term")).join(index._postings.select("term", "id"), "term").select(key, "phrase", "id")
+    found = notes.join(maybe.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).where(phrase_match(notes, F.col("phrase"))).select(key, "id")
+    short = rows.where("size(words) = 0").select(key, "phrase")
+    return found.unionByName(notes.join(short, phrase_match(notes, F.col("phrase"))).select(key, "id"))
+
+
+def coverage(index: Index, terms: list[str]) -> DataFrame:
+    """(id, covered) of notes that have enough of the terms: a majority of terms must occur at all, and half of those, rounded up, in the note."""
+    real = len(index.frequencies(terms))
+    rows = index.matches(terms).groupBy("id").agg(F.count("*").cast("int").alias("covered"))
+    return rows.where(F.lit(real >= P.majority_of(len(terms))) & (F.col("covered") >= P.need_of(real)))
 
 
 def tag_scope_rank(notes: DataFrame, words: list[str]) -> DataFrame:
@@ -183,22 +210,39 @@ def _begins(prefix: str):
     return lambda w: F.startswith(w, F.lit(prefix))
 
 
-def rungs(notes: DataFrame, query: Query, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
-    """(id, rung, rrf) over the ladder: all words, without stop words, without the rarest hit, any word, synonyms, prefixes, substrings.
+def narrowed_terms(terms: list[str], dfs: dict[str, int]) -> list[str]:
+    """Rung 2: the terms that the store has, if they are a majority; if all are there, and three or more, all but the most frequent."""
+    known = [t for t in terms if t in dfs]
+    if len(terms) < 2 or not known:
+        return []
+    if len(known) < len(terms):
+        return known if len(known) >= P.majority_of(len(terms)) else []
+    if len(terms) < 3:
+        return []
+    most = max(terms, key=lambda t: (dfs[t], -terms.index(t)))
+    return [t for t in terms if t != most]
+
+
+def rungs(index: Index, pool: DataFrame, query: Query, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
+    """(id, rung, rrf) over the ladder: all words, without stop words, with some words dropped, any word, synonyms, prefixes, substrings.
 
-    All rungs are one plan; an id counts in the first rung that admits it.
+    The postings of all words are read and scored in one pass, whatever the rung; an id counts in the first rung that
+    admits it. Only ids of the pool, the notes that the query's filters leave, are ranked.
     """
     terms = query.live()
-    scores = bm25(notes, query.terms or [""])
-    every = scores.where(F.col("hits") == len(query.terms))
-    steps = [every, bm25(notes, terms).where(F.col("hits") == len(terms))]
-    steps.append(scores.where(F.col("hits") >= max(1, len(query.terms) - 1)))
-    steps.append(scores)
-    steps.append(bm25(notes, [s for t in terms for s in (synonyms or {}).get(t, [])[:3]] or [""]))
+    swapped = [s for t in terms for s in (synonyms or {}).get(t, [])[:3]]
+    every = [*dict.fromkeys([*query.terms, *swapped])]
+    dfs = index.frequencies(every)
+    sets = [query.terms, terms, narrowed_terms(terms, dfs), query.terms, swapped]
+    need = [len(query.terms), len(terms), len(sets[2]), 1, 1]
+    part = contribution(index, dfs, FIELDS)
+    sums = [x for r, s in enumerate(sets) for x in (F.round(F.sum(F.when(F.col("term").isin(*s), part).otherwise(0.0)), 9).alias(f"s{r}"), F.count(F.when(F.col("term").isin(*s), 1)).alias(f"h{r}"))]
+    scores = index.matches([*dfs]).groupBy("id").agg(*sums).join(pool.select("id"), "id", "left_semi")
+    steps = [scores.where(F.col(f"h{r}") >= max(1, need[r])).select("id", F.col(f"s{r}").alias("score")) if sets[r] else scores.where(F.lit(False)).select("id", F.col("s0").alias("score")) for r in range(5)]
     heads = [F.exists(X.words(F.concat_ws(" ", "title", "summary")), _begins(t)).cast("int") for t in terms]
-    steps.append(notes.select("id", sum(heads[1:], heads[0]).cast("double").alias("score")).where("score > 0"))
+    steps.append(pool.select("id", sum(heads[1:], heads[0]).cast("double").alias("score")).where("score > 0"))
     likes = [F.contains(F.lower(F.concat_ws("\n", "title", "summary")), F.lit(t)).cast("int") for t in terms]
-    steps.append(notes.select("id", sum(likes[1:], likes[0]).cast("double").alias("score")).where("score > 0"))
+    steps.append(pool.select("id", sum(likes[1:], likes[0]).cast("double").alias("score")).where("score > 0"))
     lists = [ranked(s.select("id", "score"), f"rung{r}", 1.0).withColumn("rung", F.lit(r)) for r, s in enumerate(steps)]
     merged = lists[0]
     for more in lists[1:]:
@@ -207,22 +251,44 @@ def rungs(notes: DataFrame, query: Query, synonyms: dict[str, list[str]] | None
     return merged.withColumn("n", F.row_number().over(first)).where("n = 1").select("id", "rung", F.round(1 / (SOFTENER + F.col("rank")), 9).alias("rrf"))
 
 
-def search(notes: DataFrame, text: str, as_of: str, limit: int = 5, stopwords: set[str] = frozenset(), synonyms: dict | None = None, enough: int | None = None) -> DataFrame:
-    """Hits of a query: (id, title, rung, rrf, bonus, decay, trust, score), best first.
+def search(index: Index, notes: DataFrame, text: str, as_of: str, limit: int = 5, stopwords: set[str] = frozenset(), synonyms: dict | None = None, enough: int | None = None, edges: DataFrame | None = None, options: P.Narrow | None = None) -> DataFrame:
+    """Hits of a query: (id, title, rung, rrf, bonus, decay, trust, score), best first; with edges also place and topic of the reranked hits.
 
-    Rungs below the first that gives `enough` hits are left out, as a ladder climbed step by step would leave them.
+    Rungs below the first that gives `enough` hits are left out, as a ladder climbed step by step would leave them. A time
+    span that leaves nothing is dropped and the query asked again. Options narrow as well; their dates win.
     """
     query = parse_query(text, as_of, stopwords)
+    query.narrow = merged_narrow(query.narrow, options)
     if query.filter_only():
         return notes.where(P.where_of(query.narrow, as_of)).orderBy(F.desc("created"), "id").limit(limit).select("id", "title")
     pool = notes.where(P.where_of(query.narrow, as_of))
     for p in query.phrases:
         pool = pool.where(phrase_match(pool, p))
-    hits = rungs(pool, query, synonyms)
+    hits = rungs(index, pool, query, synonyms)
     by_rung = Window.orderBy("rung").rangeBetween(Window.unboundedPreceding, -1)  # of at most 7 x 50 rows
     hits = hits.withColumn("before", F.count("*").over(by_rung)).where(F.col("before") < (enough or limit)).drop("before")
-    rows = pool.join(F.broadcast(hits), "id")  # at most 7 x 50 rows
-    return final_score(rows, as_of, F.col("rung")).orderBy(F.desc("score"), F.desc("created"), "id").limit(limit).select("id", "title", "rung", "rrf", "bonus", "decay", "trust", "score")
+    if (query.narrow.since or query.narrow.until) and not hits.head(1):
+        plain = P.Narrow(**{**vars(query.narrow), "since": None, "until": None})
+        return search(index, notes, " ".join(query.terms), as_of, limit, stopwords, synonyms, enough, edges, plain)
+    rows = final_score(pool.join(F.broadcast(hits), "id"), as_of, F.col("rung"))  # at most 7 x 50 rows
+    if edges is not None:
+        from tessella.operators.rerank import rerank
+
+        places = rerank(rows.select(F.lit(0).alias("query"), "id", "title", "tags", "scope", "created", "bonus", "score"), edges)
+        rows = rows.drop("score").join(places.select("id", "place", "score", "topic"), "id")
+        return rows.orderBy("place").limit(limit).select("id", "title", "rung", "rrf", "bonus", "decay", "trust", "score", "place", "topic")
+    return rows.orderBy(F.desc("score"), F.desc("created"), "id").limit(limit).select("id", "title", "rung", "rrf", "bonus", "decay", "trust", "score")
+
+
+def merged_narrow(inline: P.Narrow, options: P.Narrow | None) -> P.Narrow:
+    """Inline filters with those of the options: lists join, single values of the options win."""
+    if options is None:
+        return inline
+    return P.Narrow(
+        types=(*inline.types, *options.types), scope=options.scope or inline.scope, tags=tuple(dict.fromkeys((*inline.tags, *options.tags))),
+        pinned=options.pinned if options.pinned is not None else inline.pinned, since=options.since or inline.since, until=options.until or inline.until,
+        dead=inline.dead or options.dead, more=(*inline.more, *options.more),
+    )
 
 
 def facet(notes: DataFrame, kind: str) -> DataFrame:
@@ -230,18 +296,22 @@ def facet(notes: DataFrame, kind: str) -> DataFrame:
     return notes.select(value.alias("value")).groupBy("value").agg(F.count("*").alias("n"))
 
 
-def vocab_prefix(notes: DataFrame, prefix: str, limit: int) -> DataFrame:
-    """Most used words that begin so: (term, docs). Words are told apart within a note before they are exploded."""
-    found = F.array_distinct(F.filter(X.words(F.col("body")), lambda w: F.startswith(w, F.lit(prefix))))
-    return notes.select(F.explode(found).alias("term")).groupBy("term").agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), "term").limit(limit)
+def vocab_prefix(index: Index, prefix: str, limit: int) -> DataFrame:
+    """Most used words of bodies that begin so: (term, docs)."""
+    return index.beginning(prefix, "body").orderBy(F.desc("docs"), "term").limit(limit)
+
+
+def explain_empty(index: Index, terms: list[str]) -> DataFrame:
+    """(term, docs, missing): how many notes have each query word in their bodies, counted to 500."""
+    dfs = index.frequencies(terms, "body")
+    return index.spark.createDataFrame([(t, min(dfs.get(t, 0), 500), t not in dfs) for t in terms], "term string, docs bigint, missing boolean")
 
 
-def explain_empty(notes: DataFrame, terms: list[str]) -> DataFrame:
-    """(term, docs, missing): how many notes have each query word, counted to 500."""
-    has = F.array_intersect(F.array_distinct(X.words(F.col("body"))), F.array(*map(F.lit, terms)))
-    found = notes.select(F.explode(has).alias("term")).groupBy("term").agg(F.least(F.count("*"), F.lit(500)).alias("docs"))
-    wanted = notes.sparkSession.createDataFrame([(t,) for t in terms], "term string")
-    return wanted.join(found, "term", "left").select("term", F.coalesce("docs", F.lit(0)).alias("docs"), F.col("docs").isNull().alias("missing"))
+def near_words(index: Index, term: str, most: int = 5) -> DataFrame:
+    """(term, docs, distance): words of the store that are nearest to one that it lacks, by edits, within a third of its length."""
+    d = F.levenshtein(F.col("term"), F.lit(term))
+    close = index.beginning(term[:1]).withColumn("distance", d).where(F.col("distance") <= max(1, len(term) // 3))
+    return close.orderBy("distance", F.desc("docs"), "term").limit(most)
 
 
 def context_block(notes: DataFrame, as_of: str, scope: str, per_section: int = 5, budget: int = 1000) -> DataFrame:

@@ -28,17 +28,22 @@ CONCLUSIONS = [
     "(정했다|정한다|못 박|확정|골랐다|택했다|뽑았다)", "(기로 (했다|한다|정했다))", "(쓴다|쓰지 않는다|안 쓴다|만든다|안 만든다|막는다|따른다|남긴다|버린다|삼는다|뺀다|넣는다)",
     "(하지 않는다|안 한다|하면 안 된다|해서는 안 된다|금지)", r"(결론|규칙|원칙)\s*[:：]",
 ]
+GENERIC_TITLES = [
+    "정리", "메모", "결정", "기록", "요약", "노트", "내용", "확인", "작업", "할 일", "진행", "정한 것", "잡담", "임시", "테스트", "시험", "todo", "note", "memo",
+]
+#: A value of four characters or more that has a letter and a digit or sign, and is no number with a unit: not `1200` or `patterns`.
+LOOKS_SECRET = r"(?![\d.,]+[A-Za-z%]*[^\sA-Za-z\d]*(?:\s|$))(?=\S*[A-Za-z])(?=\S*[\d!@#$%^&*+~])\S{4,}"
 SECRETS = [
     "sk-ant-[A-Za-z0-9_-]{20,}", "sk-(proj|live|test)-[A-Za-z0-9_-]{20,}", "sk-[A-Za-z0-9]{20,}", "ghp_[A-Za-z0-9]{20,}", "github_pat_[A-Za-z0-9_]{20,}", "glpat-[A-Za-z0-9_-]{20,}",
     "xox[baprs]-[A-Za-z0-9-]{10,}", "AKIA[0-9A-Z]{16}", "-----BEGIN [A-Z ]*PRIVATE KEY-----", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", r"\b\d{6}-[1-4]\d{6}\b",
-    r"\b(?:4\d{3}|5[1-5]\d{2}|3[47]\d{2}|6011)[ -]?\d{4}[ -]?\d{4}[ -]?\d{2,4}\b", r"(?i)\b(password|passwd|pw|token|secret|api[_-]?key)\b\s*[:=]\s*\S{4,}",
-    "[A-Za-z0-9+/]{40,}={1,2}", "[A-Za-z0-9+]{40,}={0,2}",
+    r"\b(?:4\d{3}|5[1-5]\d{2}|3[47]\d{2}|6011)[ -]?\d{4}[ -]?\d{4}[ -]?\d{2,4}\b", r"(?i)\b(password|passwd|pw|token|secret|api[_-]?key)\b\s*[:=]\s*" + LOOKS_SECRET,
+    "[A-Za-z0-9+/]{40,}={1,2}", "(?<![A-Za-z0-9+])(?=[A-Za-z0-9+]*[A-Z])(?=[A-Za-z0-9+]*[a-z])(?=[A-Za-z0-9+]*[0-9])[A-Za-z0-9+]{40,}={0,2}",
 ]
 INJECTIONS = [
     r"(?i)(이전|위의|앞의)\s*(지시|명령|규칙)(을|를)?\s*(무시|잊)", r"(?i)ignore\s+(all\s+)?(previous|above|prior)\s+instructions", r"(?im)^\s*(system|assistant|human)\s*:",
     "(?i)</?(context|system|instructions)>", r"(?i)여기(까지)?가?\s*자료(다|이다)",
 ]
-PRIVATE_PATH = r"(?i)([A-Z]:\\Users\\[^\\\s]+|/Users/[^/\s]+|/home/[^/\s]+)"
+PRIVATE_PATH = r"""(?m)(?:^|[\s(\[|>"'`])((?i:[a-z]:\\users\\[^\\\s|]+)|/home/[^/\s|]+|/Users/[^/\s|]+)"""
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 SOURCE = r"^(file|commit|url|note|mem|issue|doc):\S+$"
 
@@ -88,9 +93,14 @@ def _no_value(_: str) -> Column:
 
 
 def _summary_apart(_: str) -> Column:
-    nouns = F.array_distinct(F.transform(X.content_words(F.col("summary")), X.strip_particle))
-    absent = lambda low: lambda n: (F.size(n) >= 4) & (F.size(F.filter(n, lambda w: ~F.contains(low, w))) * 2 > F.size(n))
-    return X.bound(F.lower("body"), lambda low: X.bound(nouns, absent(low)))
+    """Four nouns or more, over half of them missing from the body, and a fifth or fewer backed by it."""
+
+    def absent(low: Column) -> Callable:
+        missing = lambda n: F.size(F.filter(n, lambda w: ~X.contains_word(low, w)))
+        return lambda n: (F.size(n) >= 4) & (missing(n) * 2 > F.size(n)) & ((F.size(n) - missing(n)) <= 0.2 * F.size(n))
+
+    gap = X.bound(F.lower("body"), lambda low: X.bound(X.noun_words(F.col("summary")), absent(low)))
+    return (F.btrim("body") != "") & gap
 
 
 def _titles_apart(titles: Column) -> Column:
@@ -102,10 +112,16 @@ def _section_share(_: str) -> Column:
     return X.bound(F.transform(X.sections(F.col("body")), lambda s: X.words(s["title"])), _titles_apart)
 
 
-def _section_share(_: str) -> Column:
-    titles = F.transform(X.sections(F.col("body")), lambda s: X.words(s["title"]))
-    common = F.aggregate(F.slice(titles, F.lit(2), F.greatest(F.size(titles) - 1, F.lit(0))), F.try_element_at(titles, F.lit(1)), lambda t, x: F.array_intersect(t, x))
-    return (F.size(titles) >= 3) & (F.size(common) == 0)
+def _generic_title(_: str) -> Column:
+    low = F.lower(F.btrim("title"))
+    rest = low
+    for word in GENERIC_TITLES:
+        rest = F.replace(rest, F.lit(word), F.lit(""))
+    return (rest != low) & (F.length(F.btrim(rest, F.lit("-·, .:"))) < 2)
+
+
+def _security_text() -> Column:
+    return F.concat_ws("\n", "title", "summary", "body")
 
 
 ROW_RULES = [
@@ -114,12 +130,13 @@ ROW_RULES = [
     Rule("F04", "reject", ("type",), lambda _: ~F.col("type").isin(*TYPES)),
     Rule("F05", "reject", ("summary",), lambda _: ~F.length("summary").between(30, 120)),
     Rule("F06", "reject", ("title", "summary"), lambda _: ~F.length("title").between(6, 40) | F.startswith(F.col("title"), F.left("summary", F.lit(20)))),
-    Rule("F07", "warn", ("title",), lambda _: F.length(F.btrim(F.regexp_replace(F.lower("title"), r"(note|memo|misc|todo|summary|정리|메모|기록|내용|요약)", ""))) < 2),
+    Rule("F07", "warn", ("title",), _generic_title),
     Rule("F08", "reject", ("tags",), lambda _: ~F.size("tags").between(2, 5)),
     Rule("F09-2", "reject", ("tags",), lambda _: F.exists("tags", lambda t: ~F.regexp_like(t, F.lit(r"^[a-z0-9][a-z0-9-]{0,29}$")))),
     Rule("F14", "reject", ("todo_status", "type"), lambda _: ((F.col("type") == "todo") & ~F.coalesce(F.col("todo_status").isin("open", "doing", "done"), F.lit(False))) | ((F.col("type") != "todo") & (F.coalesce("todo_status", F.lit("")) != ""))),
     Rule("F15", "reject", ("severity", "type"), lambda _: (F.col("type").isin("issue", "caution") & ~F.coalesce(F.col("severity").isin("high", "medium", "low"), F.lit(False))) | (~F.col("type").isin("issue", "caution") & (F.coalesce("severity", F.lit("")) != ""))),
     Rule("F16", "reject", ("sources", "type"), lambda _: (F.coalesce(F.size("sources"), F.lit(0)) <= 0) & F.col("type").isin("issue", "caution", "decision", "fact", "observation")),
+    Rule("F16", "warn", ("sources", "type"), lambda _: (F.coalesce(F.size("sources"), F.lit(0)) <= 0) & (F.col("type") == "history")),
     Rule("F17", "reject", ("sources",), lambda _: F.exists("sources", lambda s: ~F.regexp_like(s, F.lit(SOURCE)))),
     Rule("F18", "warn", ("sources",), lambda _: (F.size("sources") > 0) & F.forall("sources", lambda s: F.startswith(s, F.lit("note:")))),
     Rule("F19", "reject", ("author",), lambda _: ~F.regexp_like("author", F.lit(r"^(human|agent|auto)(:[A-Za-z0-9._-]+)?$"))),
@@ -127,7 +144,7 @@ ROW_RULES = [
     Rule("F21", "reject", ("keys",), lambda _: (F.size("keys") > 6) | F.exists("keys", lambda k: ~F.length(k).between(2, 30))),
     Rule("F22", "warn", ("keys", "title", "summary", "body"), _echoes),
     Rule("B01", "reject", ("body",), lambda _: F.size(X.substantial_lines(F.col("body"))) < 3),
-    Rule("B02", "warn", ("body",), lambda _: F.size(X.lines(F.col("body"))) > 120),
+    Rule("B02", "warn", ("body",), lambda _: F.size(X.lines(F.col("body"))).between(121, 300)),
     Rule("B03", "warn", ("body",), _first_line_weak),
     Rule("B04", "warn", ("body",), lambda _: F.size(X.headings(F.col("body"))) > 8),
     Rule("B05", "reject", ("body",), lambda _: F.exists(X.sections(F.col("body")), lambda s: F.size(s["lines"]) == 0)),
@@ -144,9 +161,9 @@ ROW_RULES = [
     Rule("C07", "reject", ("stale_after",), lambda as_of: F.coalesce(F.col("stale_after") <= P.day(as_of), F.lit(False))),
     Rule("C18", "candidate", ("superseded_by", "invalid_at", "pinned", "state"), lambda as_of: P.is_dead(as_of) & (F.coalesce("state", F.lit("")) != "cold") & ~F.col("pinned")),
     Rule("D06", "candidate", ("sources", "type"), lambda _: F.col("type").isin("issue", "caution", "decision", "fact") & (F.size("sources") > 0) & F.forall("sources", lambda s: F.regexp_like(s, F.lit("^(mem|note):")))),
-    Rule("E01", "reject", ("body",), lambda _: any_of(F.col("body"), SECRETS)),
+    Rule("E01", "reject", ("title", "summary", "body"), lambda _: any_of(_security_text(), SECRETS)),
     Rule("E02", "warn", ("body",), lambda _: F.exists(F.regexp_extract_all("body", F.lit(r"[A-Za-z0-9+/_-]{20,}"), F.lit(0)), lambda t: F.regexp_like(t, F.lit("[0-9]")) & F.regexp_like(t, F.lit("[A-Z]")) & F.regexp_like(t, F.lit("[a-z]")) & (X.entropy(t) >= 4.0))),
-    Rule("E03", "warn", ("body",), lambda _: any_of(F.col("body"), [PRIVATE_PATH])),
+    Rule("E03", "warn", ("title", "summary", "body"), lambda _: any_of(_security_text(), [PRIVATE_PATH])),
     Rule("E05", "warn", ("body",), lambda _: any_of(F.col("body"), INJECTIONS)),
     Rule("X01", "warn", ("content",), lambda _: ~F.is_valid_utf8(F.col("content").cast("string"))),
     Rule("X02", "warn", ("content",), lambda _: F.hex(F.substring("content", 1, 3)) == "EFBBBF"),
@@ -179,6 +196,19 @@ def not_in_vocabulary(notes: DataFrame, column: str, vocabulary: DataFrame, rule
     return notes.select("id", value.alias("word")).join(vocabulary, "word", "left_anti").groupBy("id").agg(F.array_sort(F.collect_set("word")).alias("related")).withColumn("rule", F.lit(rule))
 
 
+def denied_tags(notes: DataFrame, deny: DataFrame) -> DataFrame:
+    """(id, related, rule): tags on a deny list(word), which are sources and no topics."""
+    hit = notes.select("id", F.explode("tags").alias("word")).join(deny.select(F.lower("word").alias("word")).distinct(), "word", "left_semi")
+    return hit.groupBy("id").agg(F.array_sort(F.collect_set("word")).alias("related")).withColumn("rule", F.lit("F10"))
+
+
+def links_missing(notes: DataFrame, candidates: DataFrame, least: int = 2) -> DataFrame:
+    """(id, related): notes without links that have two link candidates(id, other, place) or more."""
+    bare = notes.where(F.coalesce(F.size("links"), F.lit(0)) <= 0).select("id") if "links" in notes.columns else notes.select("id")
+    found = candidates.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "other"))), lambda x: x["other"]).alias("related"))  # five at most
+    return found.where(F.size("related") >= least).join(bare, "id", "left_semi")
+
+
 def broad_tags(notes: DataFrame, share: float = 0.2, least: int = 20) -> DataFrame:
     """tags on more than a share of all notes."""
     n = notes.agg(F.count("*").alias("n"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella import storage
+from tessella.operators.index import Index, build
 from tessella.schema import AS_OF, notes_from_documents
 
-__all__ = ["AS_OF", "NOTES_SQL", "TOKENS_SQL", "notes", "table"]
+__all__ = ["AS_OF", "NOTES_SQL", "TOKENS_SQL", "index", "notes", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +19,20 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes_from_documents(table(spark, sf_dir, "documents"))
 
 
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    """The index of the notes, built by the first query of an application that asks for it and read by the others.
+
+    Its folder has the digest of the documents' files in its name, so that other or changed files have an index of their
+    own; _SUCCESS of the last table tells that it is whole.
+    """
+    documents = table(spark, sf_dir, "documents")
+    path = f"{storage.shared_dir(spark)}/tessella-index/{spark.sparkContext.applicationId}-{storage.stamp(spark, documents)}"
+    if not storage.exists(spark, f"{path}/statistics/_SUCCESS"):
+        build(notes_from_documents(documents), path)
+        storage.kept_until_end(spark, path)
+    return Index(spark, path)
+
+
 NOTES_SQL = """notes AS (
   SELECT d.doc_id AS id, ['todo','history','issue','caution','decision','howto','fact','observation'][(d.doc_id % 8)::INT + 1] AS type,
          left(split_part(d.text, chr(10), 1), 40) AS title, left(d.text, 120) AS summary, d.text AS body, [d.lang, d.source] AS tags, d.source AS scope,

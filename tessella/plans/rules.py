@@ -61,7 +61,7 @@ def cold_notes(spark, sf_dir):
 
 
 def orphan_notes(spark, sf_dir):
-    return R.orphans(notes(spark, sf_dir), hits(spark, sf_dir).where("id % 2 = 0"), edges(spark, sf_dir))
+    return R.orphans(notes(spark, sf_dir), hits(spark, sf_dir), edges(spark, sf_dir))
 
 
 def dead_links(spark, sf_dir):
@@ -138,7 +138,18 @@ EDGES_SQL = "edges AS (SELECT doc_id AS src, doc_id - 7 AS dst, 'source' AS kind
 _LINES = "string_split(body, chr(10))"
 _SUBST = f"list_filter({_LINES}, lambda x: trim(x, ' ') <> '' AND NOT starts_with(trim(x, ' '), '#'))"
 _FIRST = f"trim(coalesce(({_SUBST})[1], ''), ' ')"
-_SECURITY = {"E01": ("reject", _any_sql("body", R.SECRETS)), "E03": ("warn", _any_sql("body", [R.PRIVATE_PATH])), "E05": ("warn", _any_sql("body", R.INJECTIONS))}
+def _secret_sql(x: str) -> str:
+    """E01 by its own words: the plain shapes, and for passwords and long runs the values that look like secrets."""
+    plain = [p for p in R.SECRETS if "(?=" not in p]
+    value = "regexp_extract_all({x}, '(?i)\\b(?:password|passwd|pw|token|secret|api[_-]?key)\\b\\s*[:=]\\s*(\\S{{4,}})', 1)".format(x=x)
+    looks = "regexp_matches(v, '[A-Za-z]') AND regexp_matches(v, '[0-9!@#$%^&*+~]') AND NOT regexp_matches(v, '^[0-9.,]+[A-Za-z%]*[^\\sA-Za-z0-9]*$')"
+    blobs = f"list_filter(regexp_extract_all({x}, '[A-Za-z0-9+]{{40,}}'), lambda v: regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]'))"
+    return f"({_any_sql(x, plain)} OR len(list_filter({value}, lambda v: {looks})) > 0 OR len({blobs}) > 0)"
+
+
+_WHOLE = "concat_ws(chr(10), title, summary, body)"
+_HOME = """regexp_matches({x}, '(?m)(^|[\\s(\\[|>"''`])([A-Za-z]:\\\\[Uu][Ss][Ee][Rr][Ss]\\\\[^\\\\\\s|]+|/home/[^/\\s|]+|/Users/[^/\\s|]+)')"""
+_SECURITY = {"E01": ("reject", _secret_sql(_WHOLE)), "E03": ("warn", _HOME.format(x=_WHOLE)), "E05": ("warn", _any_sql("body", R.INJECTIONS))}
 _DEAD = f"NOT {LIVE_SQL}"
 
 SQL = {
@@ -151,7 +162,7 @@ SQL = {
         "F20": ("reject", "created > DATE '2025-02-10'"),
     }),
     "rule_body_findings": _rules_sql({
-        "B01": ("reject", f"len({_SUBST}) < 3"), "B02": ("warn", f"len({_LINES}) > 120"),
+        "B01": ("reject", f"len({_SUBST}) < 3"), "B02": ("warn", f"len({_LINES}) BETWEEN 121 AND 300"),
         "B03": ("warn", f"(length({_FIRST}) < 20 AND NOT (ends_with({_FIRST}, '.') AND length({_FIRST}) >= 10)) OR " + " OR ".join(f"ends_with({_FIRST}, '{t}')" for t in R.QUESTION_TAILS)),
         "B04": ("warn", f"len(list_filter({_LINES}, lambda x: starts_with(trim(x, ' '), '##'))) > 8"), "B09": ("reject", _any_sql("body", [*R.RELATIVE_DATES, R.RECENT])),
         "B11": ("reject", f"len({_LINES}) > 300"), "M02": ("warn", _any_sql("summary", R.BUNDLES)),
@@ -163,7 +174,7 @@ SQL = {
         AND DATE '2025-02-10' - created > CASE type WHEN 'history' THEN 180 WHEN 'fact' THEN 360 WHEN 'decision' THEN 1440 WHEN 'howto' THEN 1440 END""",
     "cold_notes": f"""WITH {NOTES_SQL}, h AS (SELECT user_id, max(ts) AS last FROM events GROUP BY 1)
         SELECT id, last FROM notes LEFT JOIN h ON id = user_id WHERE DATE '2025-02-10' - created > 180 AND (last IS NULL OR DATE '2025-02-10' - last::DATE > 180)""",
-    "orphan_notes": f"""WITH {NOTES_SQL}, {EDGES_SQL} SELECT id FROM notes WHERE id NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges UNION SELECT user_id FROM events WHERE user_id % 2 = 0)""",
+    "orphan_notes": f"""WITH {NOTES_SQL}, {EDGES_SQL} SELECT id FROM notes WHERE id NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges UNION SELECT user_id FROM events)""",
     "dead_links": f"WITH {EDGES_SQL} SELECT src, dst, kind FROM edges WHERE dst NOT IN (SELECT doc_id FROM documents)",
     "stale_basis": f"""WITH {NOTES_SQL}, {EDGES_SQL} SELECT DISTINCT src, dst, kind FROM edges JOIN (SELECT id, superseded_by FROM notes WHERE {_DEAD}) d ON dst = d.id
         WHERE (d.superseded_by IS NULL OR d.superseded_by <> src) AND src IN (SELECT id FROM notes WHERE {LIVE_SQL})""",
@@ -178,7 +189,7 @@ SQL = {
         b AS (SELECT *, regexp_replace(t1, 'AKIA[0-9A-Z]{16}', '[gone]', 'g') AS t2 FROM a)
         SELECT doc_id, (len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) + len(regexp_extract_all(t1, 'AKIA[0-9A-Z]{16}')) + len(regexp_extract_all(t2, '\b\d{3}-\d{3}-\d{4}\b')))::BIGINT AS n,
                md5(regexp_replace(t2, '\b\d{3}-\d{3}-\d{4}\b', '[gone]', 'g')) AS text_md5 FROM b""",
-    "secret_hits": f"SELECT doc_id FROM documents WHERE {_any_sql('text', R.SECRETS)}",
+    "secret_hits": f"SELECT doc_id FROM documents WHERE {_secret_sql('text')}",
     "injection_flag": f"SELECT conv_id, turn, {_any_sql('text', R.INJECTIONS)} AS flag FROM conversations",
     "neutralize": r"""SELECT page_id, md5(translate(html, '<>`[]{}', '‹›''()()')) AS html_md5, length(trim(regexp_replace(regexp_replace(html, '[\p{Cf}]', '', 'g'), '[\s\p{Cc}]+', ' ', 'g'), ' ')) AS n FROM pages""",
     "facts": r"""WITH f AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '\d[\d.]*'))) AS a, list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9_./-]{2,}')) AS b FROM documents)

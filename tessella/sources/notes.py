@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LISTS = ("tags", "keys", "sources", "links")
 
@@ -14,10 +16,20 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     return files.withColumn("hash", F.sha2("content", 256))
 
 
+@F.pandas_udf(T.StringType())
+def _korean(content: pd.Series) -> pd.Series:
+    return content.map(lambda b: None if b is None else bytes(b).decode("cp949", "replace"))
+
+
 def decode(content: Column) -> Column:
-    """UTF-8, or else the Korean code page; a leading byte-order mark goes, line ends become newlines."""
-    plain = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "UTF-8"))
-    return F.regexp_replace(F.regexp_replace(plain, "^﻿", ""), "\r\n", "\n")
+    """UTF-8, or else the Korean code page 949; a leading byte-order mark goes, line ends become newlines.
+
+    Only files that are no UTF-8 go to Python, as the engine has no such code page. Bytes that neither has become
+    replacement characters; a null stays null.
+    """
+    good = F.is_valid_utf8(content.cast("string"))
+    plain = F.coalesce(F.when(good, content.cast("string")), _korean(F.when(~good, content)))
+    return F.regexp_replace(F.regexp_replace(plain, "^\ufeff", ""), "\r\n", "\n")
 
 
 def _field(head: Column, name: str) -> Column:

@@ -1,4 +1,4 @@
-"""Streams: hit folding with watermarks, sessions by gap, session nudges as keyed state, inbox promotion in micro-batches."""
+"""Streams: hit folding with watermarks, sessions by gap, session nudges as keyed state."""
 
 from __future__ import annotations
 
@@ -73,24 +73,35 @@ def nudges(events: DataFrame) -> DataFrame:
     return folded.select("id", F.explode("out").alias("at"))
 
 
-def promote(notes: DataFrame, requests: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New notes of add requests(key, id, type, scope, body) that were not seen before, and exact twins: (fresh, twins).
+def marks(events: DataFrame) -> DataFrame:
+    """(session_id, transcript_path, reason, cwd, at) of compact and end events: the last of each session and reason."""
+    kept = events.where(F.col("reason").isin("compact", "end"))
+    return kept.groupBy("session_id", "reason").agg(F.max_by(F.struct("transcript_path", "cwd"), "at").alias("x"), F.max("at").alias("at")).select("session_id", "x.transcript_path", "reason", "x.cwd", "at")
 
-    A request is told apart by its key, so a batch that runs again adds nothing; twins have type, scope and body of a
-    stored note.
-    """
-    new = requests.dropDuplicates(["key"]).join(seen.select("key"), "key", "left_anti")
-    body = lambda d: d.withColumn("_b", F.sha2("body", 256))
-    stored = body(notes).groupBy("type", "scope", "_b").agg(F.min("id").alias("twin"))
-    joined = body(new).join(stored, ["type", "scope", "_b"], "left").drop("_b")
-    return joined.where("twin is null").drop("twin"), joined.where("twin is not null").select("key", "twin")
 
+def still_active(queue: DataFrame, files: DataFrame, now: str, end_minutes: int = 10, compact_minutes: int = 60) -> DataFrame:
+    """queue rows with `live`: whether the transcript changed within ten minutes, or sixty after a compaction. files(path, modified)."""
+    quiet = F.when(F.col("reason") == "compact", compact_minutes).otherwise(end_minutes)
+    joined = queue.join(files.select(F.col("path").alias("_p"), "modified"), F.col("transcript_path") == F.col("_p"), "left")
+    age = (F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("modified")) / 60
+    return joined.withColumn("live", F.coalesce(age < quiet, F.lit(False))).drop("_p", "modified")
 
-def run_inbox(spark: SparkSession, inbox: str, schema, store: str, checkpoint: str) -> None:
-    """Promotes all waiting request files once: each micro-batch appends the notes it admits."""
 
-    def batch(frame: DataFrame, number: int) -> None:
-        frame.dropDuplicates(["key"]).write.mode("append").option("mergeSchema", "true").parquet(store)
+def recent_sessions(events: DataFrame, now: str, minutes: int) -> DataFrame:
+    """One row: sessions with an event within so many minutes before now."""
+    age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("at")
+    return events.where((age >= 0) & (age <= minutes * 60)).agg(F.countDistinct("id").alias("sessions"))
 
-    stream = spark.readStream.schema(schema).json(inbox)
-    stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+def find_session(sessions: DataFrame, prefix: str) -> DataFrame:
+    """The session seen last whose id begins so; a prefix of one to seven characters finds none, an empty one the last of all."""
+    if 0 < len(prefix) < 8:
+        return sessions.where(F.lit(False))
+    return sessions.where(F.startswith(F.col("id"), F.lit(prefix))).orderBy(F.desc("seen"), "id").limit(1)
+
+
+def too_soon(last: str | None, now: str, hours: int = 24) -> bool:
+    """Whether less than a day has gone by since the last run."""
+    from datetime import datetime, timedelta
+
+    return last is not None and datetime.fromisoformat(now) - datetime.fromisoformat(last) < timedelta(hours=hours)
