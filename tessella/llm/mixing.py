@@ -195,9 +195,10 @@ def mixed_documents(docs: DataFrame, mixed: DataFrame, key: str, text_col: str =
     """docs once for each pass in which the shards drew words of them, with the words of that pass as text, shard by shard.
 
     mixed: the mix of docs by the unique column `key`. A document is a row of the shard that drew its first words of the
-    pass, so that it stays whole where blocks of two shards meet in it; a shard's rows come in an order by hash. A document
-    taken whole keeps its text as it is; of others the words drawn keep the white space before them. Documents of which
-    nothing was drawn, empty ones too, give no row. Other columns, whatever their names, are carried along.
+    pass, so that it stays whole where blocks of two shards meet in it; a shard's rows come in an order by hash, and are
+    written in 64 slices of that order, so that no task holds a shard. A document taken whole keeps its text as it is; of
+    others the words drawn keep the white space before them. Documents of which nothing was drawn, empty ones too, give no
+    row. Other columns, whatever their names, are carried along.
     """
     held = [f"c{i}" for i in range(len(docs.columns))]
     k, text = held[docs.columns.index(key)], F.col(held[docs.columns.index(text_col)])
@@ -208,7 +209,8 @@ def mixed_documents(docs: DataFrame, mixed: DataFrame, key: str, text_col: str =
     whole = F.aggregate("_pieces", F.lit(0).cast("long"), lambda t, p: t + p["words"]) == F.col("_size")
     pass_, shard = F.col("_pieces")[0]["pass"], F.col("_pieces")[0]["shard"]
     rows = rows.withColumns({"_shard": shard, "_order": F.xxhash64(F.lit(seed), pass_, "_key")})
-    rows = rows.repartition("_shard").sortWithinPartitions("_shard", "_order")
+    slice_ = F.shiftrightunsigned("_order", 58)
+    rows = rows.withColumn("_slice", slice_).repartition("_shard", "_slice").sortWithinPartitions("_shard", "_slice", "_order")
     return rows.select(*[F.when(whole, text).otherwise(cut).alias(text_col) if h == held[docs.columns.index(text_col)] else F.col(h).alias(c) for h, c in zip(held, docs.columns, strict=True)])
 
 
