@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tessella.llm.common import kept_fields, release, schema
+from tessella.llm.common import bounded_broadcast, kept_fields, release, schema, written
 
 #: A letter is what Unicode's category L says, here as in Spark's patterns: no fraction, circled digit or Roman numeral.
 LETTER = regex.compile(r"\p{L}")
@@ -124,11 +124,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     slots = known.groupBy("lang", "slot").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     slots = slots.withColumn("before", before)  # of at most 65,536 slots a language
+    slots = written(slots, "slots")
     languages = slots.agg(F.countDistinct("lang")).first()[0]
     if not languages:
         return None
     quota = min(per_language, max(least_rows, most_rows // languages))
-    cuts = slots.where(F.col("before") < quota).groupBy("lang").agg(F.max("slot").alias("cut")).withColumnRenamed("lang", "_lang")
+    cuts = written(slots.where(F.col("before") < quota).groupBy("lang").agg(F.max("slot").alias("cut")).withColumnRenamed("lang", "_lang"), "cuts")
+    cuts = bounded_broadcast(cuts, 100_000)  # a row a language: no text is shuffled
     few = known.join(cuts, (F.col("lang") == F.col("_lang")) & (F.col("slot") <= F.col("cut")))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))  # of a language's quota and the rest of one slot
     chosen = few.withColumn("place", place).where(F.col("place") <= quota).select("lang", "h", "text")
