@@ -68,3 +68,21 @@ def test_stages(spark, tmp_path):
         assert r.offset == ends[r.sequence_id]
         ends[r.sequence_id] += r.length
     assert all(n == 2048 for k, n in ends.items() if k < max(ends))
+
+
+def test_stages_with_clashing_columns_and_two_files(spark, tmp_path):
+    made = [(i, r[1], r[2], r[3], r[4], "a", 1, "b", "c") for i, r in enumerate(rows()[:24])] + [(30, "the ing tion " * 20_000, "en", "src0", None, None, None, None, None), (None, None, None, None, None, None, None, None, None)]
+    clash = T.StructType([*DOCS.fields, T.StructField("_row", T.StringType()), T.StructField("_metadata", T.IntegerType()), T.StructField("_key", T.StringType()), T.StructField("_pieces", T.StringType())])
+    spark.createDataFrame(made, clash).repartition(2).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        stage(spark, docs, "").write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        assert docs.columns == clash.names and docs.count() > 10
+    assert {(r._row, r._metadata, r._key, r._pieces) for r in docs.collect()} == {("a", 1, "b", "c"), (None, None, None, None)}
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], DOCS)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, docs, "").count() == 0
