@@ -107,7 +107,7 @@ def outcomes(queue: DataFrame) -> DataFrame:
     return queue.groupBy(F.when(F.col("done_at").isNull(), "open").otherwise(F.coalesce("result", F.lit("unknown"))).alias("result")).agg(F.count("*").alias("n"))
 
 
-_CLAIM_ADD = re.compile(r"""\bmem\s+add\b.*?--summary\s+(?:"([^"]+)"|'([^']+)')""")
+_CLAIM_ADD = re.compile(r"""\badd\b[^\n]*?--summary\s+(?:"([^"]+)"|'([^']+)')""")
 _CLAIM_LINE = re.compile(r"(?m)^\s*(?:[-*]\s*)?(?:정함|결정)\s*[:：]\s*(.+)$")
 _TABLE_HEAD = re.compile(r"결정|정함|정한 것")
 

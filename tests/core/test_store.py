@@ -202,7 +202,7 @@ def test_vocabulary_and_reports(spark):
     assert [r.tag for r in W.standard_tags(v).collect()] == ["ranking", "search"] and W.parents(v).first() == ("ranking", "search")
     near = W.near_tags(spark.createDataFrame([("serch",), ("zzz",)], "tag string"), W.standard_tags(v)).collect()
     assert [(r.tag, r.near, r.distance) for r in near] == [("serch", "search", 1)]
-    assert R.allocate(10, [50, 30, 20], [2, 9, 9]) == [2, 6, 2] and R.claims("| 결정 | x |\n|---|---|\n| a | b |\n- 정함: c\nmem add --summary \"d\"") == ["a", "c", "d"]
+    assert R.allocate(10, [50, 30, 20], [2, 9, 9]) == [2, 6, 2] and R.claims("| 결정 | x |\n|---|---|\n| a | b |\n- 정함: c\nnotes add --summary \"d\"") == ["a", "c", "d"]
     hits = spark.createDataFrame([(i, i, "# t", "s <b>", 1.0) for i in range(1, 6)], "place int, id int, title string, summary string, score double")
     assert R.rendered(hits, 9).count() in (1, 2) and R.rendered(hits, 1000).count() == 5
     block = spark.createDataFrame([("b", "x", 1, "word " * 20), ("b", "x", 2, "word " * 20), ("b", "keep", 1, "word " * 30)], "block string, section string, place int, line string")
