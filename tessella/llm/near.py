@@ -5,7 +5,8 @@
 2. Of the rest, SimHash fingerprints are linked by the trie's self-join, and links are confirmed.
 3. What is left is found by a prefix join: whatever order the shingles have, two similar sets share one of the first of
    each. The order is rare ones first, so that passages that many documents share come last. Groups are closed by stars
-   first, each bucket's members against one of them, and only then by pairs of what is still apart.
+   first, each bucket's members against one of them, and only then by pairs of what is still apart, where the first
+   shingle that two sets share leaves enough of either behind it.
 """
 
 from __future__ import annotations
@@ -171,7 +172,14 @@ def _named(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, least: Fraction) -> DataFrame:
-    """(node, n, h): the first shingles of each set, rarest first, that others have as well; all of them by exact counts."""
+    """(node, n, common, h, slack): the first shingles of each set, rarest first, that others have as well.
+
+    All of them by exact counts; `common` is the mean count of the set's shingles. Sets of a and b shingles are similar if
+    they share p / (p + q) of a + b, the similarity being p / q. So the first one that they share, and what comes after it
+    in either set, is at least that many; of a set's m last shingles (p + q) m - p n is what this leaves for p times the
+    other's n, the slack.
+    """
+    p, q = least.numerator, least.denominator
 
     def spread(batches):
         for b in batches:
@@ -182,16 +190,17 @@ def _prefixes(sets: DataFrame, least: Fraction) -> DataFrame:
                     size = part.column("n").to_numpy()
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("node").to_numpy(), size)), pa.array(np.repeat(size, size)), pa.array(np.concatenate(hashes))], ["node", "n", "h"])
 
-    parts = sets.select("node", "n", "hashes").mapInArrow(spread, "node bigint, n int, h bigint")
+    parts = sets.select("node", F.col("n").cast("long").alias("n"), "hashes").mapInArrow(spread, "node bigint, n bigint, h bigint")
     # every set is counted, but for hashes that only one set has: those come first in their sets and tell nothing
     counts = written(parts.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "counts")
-    shared = parts.join(counts, "h").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("all"))  # of one set
-    rest = F.col("n") + 1 - F.ceil(F.col("n") * least.numerator / F.lit(least.denominator)) - (F.col("n") - F.size("all"))
-    return written(shared.select("node", "n", F.explode(F.slice("all", F.lit(1), F.greatest(rest, F.lit(0)).cast("int"))).alias("x")).select("node", "n", "x.h"), "prefixes")
+    shared = parts.join(counts, "h").groupBy("node", "n").agg(F.sum("c").alias("sum"), F.array_sort(F.collect_list(F.struct("c", "h"))).alias("all"))  # of one set
+    common = ((F.col("sum") + F.col("n") - F.size("all")) / F.col("n")).alias("common")
+    each = shared.select("node", "n", common, F.size("all").alias("m"), F.posexplode("all").alias("i", "x")).withColumn("last", F.col("m") - F.col("i"))
+    return written(each.where(F.col("last") * q >= F.col("n") * p).select("node", "n", "common", "x.h", (F.col("last") * (p + q) - F.col("n") * p).alias("slack")), "prefixes")
 
 
 def _apart(parts: DataFrame) -> DataFrame:
-    """Rows of parts(node, comp, n, h) whose shingle is in more than one component: others have nothing to tell."""
+    """Rows of parts(comp, h, ...) whose shingle is in more than one component: others have nothing to tell."""
     mixed = written(parts.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h"), "mixed")
     return written(parts.join(mixed, "h", "left_semi"), "parts")
 
@@ -200,6 +209,38 @@ def _alike(an: str, bn: str, least: Fraction) -> Column:
     return (F.col(an) * least.denominator >= F.col(bn) * least.numerator) & (F.col(bn) * least.denominator >= F.col(an) * least.numerator)
 
 
+def _size_class(n: str) -> str:
+    """Four classes between a power of two and the next, which grow with n."""
+    return f"4 * length(bin({n})) + (shiftright(shiftleft({n}, 3), length(bin({n}))) & 3)"
+
+
+def _met(parts: DataFrame, least: Fraction) -> DataFrame:
+    """Pairs(a, b) of parts(node, comp, n, h, slack) of two components whose first common shingle may be h.
+
+    The slack of either covers p times the other's size; so the smaller set's covers its own, and only such rows are on
+    the small side. Rows meet within classes of sizes. What no row of the other side in the bucket can meet, as its best
+    values tell, goes before the join: members of one component, and those of which too little comes after the shingle,
+    are not paired, however large the bucket is.
+    """
+    p, q = least.numerator, least.denominator
+    low = f"(n * {p}L + {q - 1}L) div {q}L"
+    small = parts.where(F.col("slack") >= F.col("n") * p).select("h", F.expr(_size_class("n")).alias("size"), "node", "comp", "n", "slack")
+    large = parts.select("h", F.explode(F.sequence(F.expr(_size_class(low)), F.expr(_size_class("n")))).alias("size"), "node", "comp", "n", "slack")
+
+    def able(rows: DataFrame, others: DataFrame) -> DataFrame:
+        best = others.groupBy("h", "size").agg(F.min("n").alias("_n"), F.max("slack").alias("_slack"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
+        can = (F.col("slack") >= F.col("_n") * p) & (F.col("_slack") >= F.col("n") * p) & ((F.col("comp") != F.col("_lo")) | (F.col("comp") != F.col("_hi")))
+        return written(rows.join(best, ["h", "size"]).where(can).drop("_n", "_slack", "_lo", "_hi"), "able")
+
+    large = able(large, small)
+    small = able(small, large)
+    large = able(large, small)
+    a, b = (x.toDF("h", "size", *[k + c for c in x.columns[2:]]) for k, x in (("a", large), ("b", small)))
+    once = (F.col("bn") < F.col("an")) | ((F.col("bn") == F.col("an")) & (F.col("bnode") < F.col("anode")))
+    fits = (F.col("aslack") >= F.col("bn") * p) & (F.col("bslack") >= F.col("an") * p)
+    return a.join(b, ["h", "size"]).where(once & fits & (F.col("acomp") != F.col("bcomp"))).select(F.col("anode").alias("a"), F.col("bnode").alias("b")).distinct()
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, shingle: int = 5, similarity: float = 0.8, stars: int = 3) -> DataFrame:
     """One row per document: id, the carried columns, component.
 
@@ -224,22 +265,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prefixes = _prefixes(sets, least)
     parts = _apart(_named(prefixes, close))
     for turn in range(stars):
-        # in each bucket one node, drawn by hash, is compared with all that are not of its component
-        chosen = parts.groupBy("h").agg(F.min_by(F.struct(F.col("node").alias("a"), F.col("comp").alias("ac"), F.col("n").alias("an")), F.xxhash64("comp", "node", F.lit(turn))).alias("s")).select("h", "s.*")
+        # in each bucket one node is compared with all that are not of its component: first the one whose shingles are the
+        # most common, as the text is that a group's members were made from, then one drawn by hash
+        order = F.struct(-F.col("common") if turn == 0 else F.lit(0.0), F.xxhash64("comp", "node", F.lit(turn)))
+        chosen = parts.groupBy("h").agg(F.min_by(F.struct(F.col("node").alias("a"), F.col("comp").alias("ac"), F.col("n").alias("an")), order).alias("s")).select("h", "s.*")
         met = parts.join(chosen, "h").where((F.col("comp") != F.col("ac")) & _alike("n", "an", least)).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         found = _confirmed(met, sets, least)
         if not found.head(1):
-            continue
+            break
         close = close.union(found)
         parts = _apart(_named(parts.drop("comp"), close))
-    a, b = (parts.toDF(*[k + c if c != "h" else c for c in parts.columns]) for k in "ab")
-    ceil = lambda x, over: F.expr(f"cast((({x}) * {least.numerator}L + {over} - 1) div {over} AS bigint)")
-    met = a.join(b, "h").where((F.col("anode") < F.col("bnode")) & (F.col("acomp") != F.col("bcomp")) & _alike("an", "bn", least))
-    met = met.groupBy("anode", "bnode").agg(F.first("an").alias("an"), F.first("bn").alias("bn"), F.count("*").alias("c"))
-    # the shared ones among the first, and at most all of what comes after the first of one of both
-    after: Column = F.greatest(ceil("an", least.denominator), ceil("bn", least.denominator)) - 1
-    met = met.where(F.col("c") + after >= ceil("an + bn", least.numerator + least.denominator)).select(F.col("anode").alias("a"), F.col("bnode").alias("b"))
-    far = _confirmed(met, sets, least)
+    far = _confirmed(_met(parts, least), sets, least)
     told = written(_named(sets.select("node"), close.union(far)).select(F.col("node").alias("_node"), "comp"), "groups")
     names = [F.col(f"_c{i}").alias(c) for i, c in enumerate([id_col, *carry])]
     return rows.drop("_text").join(told, F.col("node") == F.col("_node"), "left").select(*names, F.coalesce("comp", F.xxhash64("node")).alias("component"))

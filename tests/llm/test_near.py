@@ -63,3 +63,37 @@ def test_stage(spark):
     near = [*base[:110], *[f"v{i}" for i in range(10)]]  # 106 of 126: above
     rows = [(1, " ".join(base), None), (2, " ".join(near), None), (3, " ".join(other), None)]
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "").collect()) == [1, 3]
+
+
+def join_rows(spark, run):
+    """The most rows that a join made while run() ran, and run's result."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before, most = store.executionsCount(), 0
+    out = run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    told = store.executionsList()
+    for k in range(before, told.size()):
+        e = told.apply(k).executionId()
+        values, nodes = store.executionMetrics(e), store.planGraph(e).allNodes()
+        for node in map(nodes.apply, range(nodes.size())):
+            for m in map(node.metrics().apply, range(node.metrics().size())):
+                if "Join" in node.name() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most, out
+
+
+def test_large_group_is_not_joined_in_pairs(spark):
+    """Edits of one text, many of them too far from all others: buckets of all members, of which most stay apart."""
+    rng = random.Random(7)
+    base = [f"w{i * 7919 % 1000}" for i in range(150)]
+    rows = []
+    for i in range(600):
+        t = list(base)
+        for at in rng.sample(range(150), i % 8):
+            t[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(t), None))
+    made, got = join_rows(spark, lambda: {r.doc_id: r.component for r in near_groups(spark.createDataFrame(rows, DOCS)).collect()})
+    want = near_roots([t for _, t, _ in rows])
+    assert len({(want[i], got[i]) for i in got}) == len(set(want)) == len(set(got.values())) > 200
+    assert made < sum(len(sets(t)) for _, t, _ in rows)
