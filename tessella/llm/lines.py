@@ -33,7 +33,7 @@ def _half_keys(line: Column, n: Column, can: Column) -> Column:
     one of such a pair, or, if it can lose a token, one of equal ones or the longer one. The lowest bit of a key tells
     whether it is of a beginning (0) or an end (1).
     """
-    halves = (F.ceil(n / 2).cast("int"), F.when(can, F.ceil((n - 1) / 2).cast("int")))
+    halves = (F.ceil(n / 2).cast("int"), F.when(can & (n % 2 == 1), F.ceil((n - 1) / 2).cast("int")))  # of an even n both are the same
     ends = [F.when(h > 0, F.shiftleft(F.xxhash64(h, _head(line, h if i == 0 else -h)), 1).bitwiseOR(F.lit(i))) for h in halves for i in (0, 1)]
     return F.array_compact(F.array_distinct(F.array(*ends)))
 
@@ -51,7 +51,7 @@ def _lines(docs: DataFrame, text_col: str) -> DataFrame:
         return F.when(wide, F.regexp_replace(F.replace(line, F.lit(" "), F.lit("")), "(.)(?=.)", "$1 ")).otherwise(line)
 
     trimmed = F.transform(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n", -1), lambda x: F.btrim(x, F.lit(TRIM)))
-    counted = F.transform(F.transform(F.transform(trimmed, single), lambda x: F.struct(x.alias("plain"), tokens(x).alias("line"))), lambda x: F.struct(x["plain"], x["line"], (F.length(x["line"]) - F.length(F.replace(x["line"], F.lit(" "), F.lit(""))) + 1).alias("n")))
+    counted = F.transform(F.transform(F.transform(trimmed, single), lambda x: F.struct(x.alias("plain"), tokens(x).alias("line"))), lambda x: F.struct(x["plain"], x["line"], (F.octet_length(x["line"]) - F.octet_length(F.replace(x["line"], F.lit(" "), F.lit(""))) + 1).alias("n")))
     lines = docs.select("_id", "f", "p", F.posexplode(counted).alias("line_no", "x")).select("_id", "f", "p", "line_no", "x.plain", "x.line", "x.n")
     # the shortest of six tokens is never more than a fifth of the line; of fewer it is looked at
     shortest = F.array_min(F.transform(F.split("line", " ", -1), lambda w: F.length(w)))
@@ -80,19 +80,22 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     side = F.col("k").bitwiseAND(F.lit(1)) == 1
     wanted = keys.where(maybe_in(F.col("k"), live, "k")).join(live, "k").groupBy("h1", "h2").agg(F.bool_or(~side).alias("heads"), F.bool_or(side).alias("tails"))
     wanted = written(wanted.join(distinct.select("h1", "h2", "first"), ["h1", "h2"]), "wanted")
-    # the texts of those lines, read again; a line is told once, by its first copy
-    again = lines.where(maybe_in(F.col("h1"), wanted, "h1")).select("h1", "h2", F.col("f").alias("f1"), F.col("p").alias("p1"), F.col("line_no").alias("l1"), "line", "n")
+    # the texts of those lines, read again, only documents that have a first copy being cut; a line is told once, by that copy
+    holders = rows.where(maybe_in(F.xxhash64("f", "p"), wanted.select(F.xxhash64("first.f", "first.p").alias("doc")), "doc"))
+    again = _lines(holders, "_text").where(maybe_in(F.col("h1"), wanted, "h1")).select("h1", "h2", F.col("f").alias("f1"), F.col("p").alias("p1"), F.col("line_no").alias("l1"), "line", "n")
     chosen = wanted.withColumnsRenamed({"h1": "w1", "h2": "w2"})
     here = (F.col("f1") == F.col("first.f")) & (F.col("p1") == F.col("first.p")) & (F.col("l1") == F.col("first.line_no")) & (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2"))
     near = written(again.join(chosen, here).select("h1", "h2", "first", "heads", "tails", "line", "n"), "near")
     # a variant of position 0 is the line itself, of position i the line without its i-th token, if enough is left
     half = F.floor(F.col("n") / 2).cast("int")
+    near = near.withColumns({"size": F.length("line"), "sizes": F.transform(F.split("line", " ", -1), lambda w: F.length(w))})
     places = F.sequence(F.lit(0), F.col("n"))
-    places = F.filter(places, lambda i: (i == 0) | (F.col("tails") & (i <= half + 1)) | (F.col("heads") & (i >= half)))
+    left = lambda i: F.col("size") - F.get("sizes", i - 1) - 1
+    places = F.filter(places, lambda i: (i == 0) | (((F.col("tails") & (i <= half + 1)) | (F.col("heads") & (i >= half))) & (left(i) * 5 >= F.col("size") * 4)))
     spots = near.select("h1", "h2", "line", "n", F.explode(places).alias("i"))
+    # worked out once for each place: no filter looks at the variant
     rest = F.concat_ws(" ", F.nullif(_head(F.col("line"), F.col("i") - 1), F.lit("")), F.nullif(_head(F.col("line"), F.col("i") - F.col("n")), F.lit("")))
-    variants = spots.select("h1", "h2", "n", "i", F.length("line").alias("size"), F.when(F.col("i") == 0, F.col("line")).otherwise(rest).alias("v"))
-    variants = written(variants.where(F.length("v") * 5 >= F.col("size") * 4).select("h1", "h2", "n", "i", F.xxhash64("v").alias("v")), "variants")
+    variants = written(spots.select("h1", "h2", "n", "i", F.xxhash64(F.when(F.col("i") == 0, F.col("line")).otherwise(rest)).alias("v")), "variants")
     met = written(variants.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select(F.col("v").alias("met")), "met")
     order = near.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), "first")
     variants = variants.join(met, F.col("v") == F.col("met"), "left_semi")
@@ -123,7 +126,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.sum((~F.col("original")).cast("long")).alias("n_exact"), F.sum(F.col("original").cast("long")).alias("n_near"), F.array_join(F.array_sort(F.collect_list("line_no")), ",").alias("dropped")
     ).withColumnsRenamed({"f": "f2", "p": "p2"})
     text = F.coalesce(F.col("_text").cast("string"), F.lit(""))
-    every = rows.select("_id", "f", "p", (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("long").alias("breaks"))
+    every = rows.select("_id", "f", "p", (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))).cast("long").alias("breaks"))
     none = lambda c: F.coalesce(c, F.lit(0))
     return every.join(drops, (F.col("f") == F.col("f2")) & (F.col("p") == F.col("p2")), "left").select(
         F.col("_id").alias(id_col), (F.col("breaks") + 1).alias("n_lines"), none("n_exact").alias("n_exact"), none("n_near").alias("n_near"), F.coalesce("dropped", F.lit("")).alias("dropped")

@@ -3,6 +3,7 @@ import random
 from pyspark.sql import types as T
 
 from tessella.llm.lines import line_dedup, without_lines
+from tests.llm.test_near import rows_made
 
 DOCS = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("text", T.StringType()), ("line_no", T.StringType()), ("n", T.StringType()))])
 
@@ -73,3 +74,13 @@ def test_apply(spark):
     docs = spark.createDataFrame(rows, DOCS)
     got = {r.doc_id: r.text for r in without_lines(docs, line_dedup(docs)).collect()}
     assert got == {1: "a b c d e f\nshort", 2: "x", 3: None}
+
+
+def test_only_documents_with_suspects_are_cut_again(spark):
+    rng = random.Random(9)
+    texts = ["\n".join(" ".join(f"w{rng.randrange(10**6)}" for _ in range(8)) for _ in range(5)) for _ in range(400)]
+    texts += ["a b c d e f g h", "a b c d e f g x"]
+    docs = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], DOCS)
+    made, got = rows_made(spark, "posexplode", lambda: line_dedup(docs).collect())
+    assert [r.doc_id for r in got if r.dropped] == [401]
+    assert 2002 <= sum(made) < 1.5 * 2002
