@@ -29,8 +29,8 @@ def _encode(tokenizer: str, n: int, names: list[str], end_id: int, memo: int):
     """Token ids per document, with their place in the part of the source's queue that this partition fills."""
 
     def run(batches):
-        part, encoder, filled = TaskContext.get().partitionId(), shared(WordIds, tokenizer, 200, memo), {}
-        end = np.uint32(end_id).tobytes()
+        part, encoder, filled = TaskContext.get().partitionId(), shared(WordIds, tokenizer, 200, memo, end_id), {}
+        end, wide = encoder.kind.type(end_id).tobytes(), encoder.kind.itemsize
         for b in batches:
             texts = b.column("_text").cast(pa.binary()).to_pylist()
             for lo in range(0, len(texts), 2000):
@@ -38,10 +38,9 @@ def _encode(tokenizer: str, n: int, names: list[str], end_id: int, memo: int):
                 starts = []
                 for s, x in zip(b.column("_source")[lo : lo + 2000].to_pylist(), ids, strict=True):
                     starts.append(filled.get(s, 0))
-                    filled[s] = starts[-1] + len(x) // 4
-                size = [len(x) // 4 for x in ids]
-                short = [np.frombuffer(x, np.uint32).astype(np.uint16).tobytes() if len(x) and encoder.ends.size <= 1 << 16 else x for x in ids]
-                more = [pa.array([part] * len(ids), pa.int64()), pa.array(starts, pa.int64()), pa.array(size, pa.int64()), pa.array(short, pa.binary())]
+                    filled[s] = starts[-1] + len(x) // wide
+                size = [len(x) // wide for x in ids]
+                more = [pa.array([part] * len(ids), pa.int64()), pa.array(starts, pa.int64()), pa.array(size, pa.int64()), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, len(ids)) for c in b.columns[:n]), *more], names)
 
     return run

@@ -27,8 +27,9 @@ _FINE = regex.compile(r"(?<=\S)(?=\s\S)|(?<=[\p{L}\p{N}])(?=[^\s\p{L}\p{N}'])")
 LONG = 4096
 
 
-#: White space before these, after a letter, changes no cut of the word-level tokenizer.
-_MARK = re.compile(rb"(?<=[A-Za-z])(?=[,.!])")
+#: White space before these, after a letter, changes no cut of the word-level tokenizer. Not an apostrophe, which may begin
+#: a suffix, and not what special tokens have; the sign comes before the look back, so that the search skips to it.
+_MARK = re.compile(rb"[!-&(-/:;=-@\[-`{}~](?<=[A-Za-z].)")
 _SHARED: dict[tuple, object] = {}
 
 
@@ -177,11 +178,12 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 class WordIds:
     """Ids of whole texts by a word-level BPE that drops white space and marks word ends in its pieces."""
 
-    def __init__(self, path: str, batch: int, half: int) -> None:
+    def __init__(self, path: str, batch: int, half: int, end_id: int = 0) -> None:
         self.tokenizer, self.batch, self.memo = load(path), batch, Memo(half)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.kind = np.dtype(np.uint16 if max(len(self.ends) - 1, end_id) < 1 << 16 else np.uint32)
 
     def learn(self, words: list[bytes]) -> None:
         """Words of letters only go to the tokenizer as one text, which is cheaper; the ids are cut at word ends."""
@@ -192,23 +194,23 @@ class WordIds:
             (letters if w.decode().isalpha() else rest).append(w)
         groups = [letters[i : i + self.batch] for i in range(0, len(letters), self.batch)]
         for group, e in zip(groups, encode([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, np.uint32)
+            ids = np.array(e.ids, self.kind)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(group) and cuts[-1] == len(ids):
-                self.memo.put(group, (x.tobytes() for x in np.split(ids, cuts[:-1])))
+                data, at = ids.tobytes(), (cuts * self.kind.itemsize).tolist()
+                self.memo.put(group, [data[a:b] for a, b in zip([0, *at], at, strict=False)])
             else:  # lower-casing or composing left something that is no letter
                 rest += group
-        self.memo.put(rest, (np.array(e.ids, np.uint32).tobytes() for e in encode([w.decode() for w in rest], add_special_tokens=False)))
+        self.memo.put(rest, (np.array(e.ids, self.kind).tobytes() for e in encode([w.decode() for w in rest], add_special_tokens=False)))
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text.
+        """Little-endian ids of each text, of 16 bits where the vocabulary and end_id have no larger ones, else of 32.
 
-        Cuts are at ASCII white space, which the tokenizer drops, and between a letter and a comma, full stop or
-        exclamation mark. As it lower-cases all, A-Z are folded first, but for what may be a special token.
+        Cuts are at ASCII white space, which the tokenizer drops, and between an ASCII letter and most signs. As it lower-cases all, A-Z are folded first, but for what may be a special token.
         """
         memo, out = self.memo, []
         for group in byte_batches(texts, 1 << 20):
-            cut = [_MARK.sub(b" ", t if b"<|" in t else t.lower()).split() for t in group]
+            cut = [_MARK.sub(rb" \g<0>", t if b"<|" in t else t.lower()).split() for t in group]
             self.learn(memo.missing(set().union(*cut)))
             out += [b"".join(map(memo.new.__getitem__, words)) for words in cut]
             memo.trim()

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from tessella.llm.packing import packed
-from tessella.llm.tokens import fine_parts, safe_parts, token_counts
+from tessella.llm.tokens import WordIds, fine_parts, safe_parts, token_counts
 
 BYTES, WORDS, PIECES = map(public_tokenizers.path, ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("source", T.StringType()), T.StructField("size", T.StringType())])
@@ -96,3 +96,16 @@ def test_long_texts_without_spaces(spark):
     got = {r.doc_id: r.n_tokens for r in token_counts(docs, BYTES).collect()}
     assert got == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
     assert len(fine_parts(texts[0])) > 5 and "".join(fine_parts(texts[0])) == texts[0]
+
+
+def test_word_ids():
+    """Signs after letters are parts of their own, so that words with them are no new ones; ids are as narrow as they can be."""
+    t, w, rng = Tokenizer.from_file(WORDS), WordIds(WORDS, 200, 1 << 16), random.Random(4)
+    signs = [*"abAZ019 \n'_-,.!$%&()*+/:;<=>?@[]\\^`{|}~\"#éß日", "\u0301", "İ", "<|endoftext|>", "<|startoftext|>", "'s", "'ll"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(2000)]
+    got = [np.frombuffer(x, w.kind).tolist() for x in w.ids([x.encode() for x in texts])]
+    assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    w = WordIds(WORDS, 200, 1 << 16)
+    w.ids([b"gate$$$ lamp### gate### lamp$$$ gate--lamp"])
+    assert set(w.memo.new) == {b"gate", b"lamp", b"$$$", b"###", b"--lamp"}
+    assert w.kind == np.uint16 and WordIds(WORDS, 200, 1 << 16, 1 << 16).kind == np.uint32
