@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessella.operators import duplicates as D
+from tessella.operators import neighbours as N
+from tessella.operators import vectors as V
 
 NOTE = "id long, type string, title string, summary string, body string, tags array<string>, scope string, created date, superseded_by long, invalid_at date, pinned boolean"
 
@@ -65,3 +67,37 @@ def _leaves(plan, name):
         yield plan
     for k in range(plan.children().size()):
         yield from _leaves(plan.children().apply(k), name)
+
+
+def test_index_is_shuffled_once(spark, tmp_path, monkeypatch):
+    """Counts of all fields, over more files than buckets; a note's tokens are counted without a shuffle."""
+    from tessella.operators import index as I
+
+    monkeypatch.setattr(I, "NOTES_A_FILE", 10)
+    rows = [(i, f"t{i % 3} x", f"word{i % 5} 한국어 x", f"x x word{i % 7}\nlong{i}" if i % 9 else None, ["b", "a"], "s") for i in range(45)]
+    notes = spark.createDataFrame(rows, "id long, title string, summary string, body string, tags array<string>, scope string")
+    assert "Exchange" not in I.gathered(notes)._jdf.queryExecution().executedPlan().toString()
+    I.build(notes, f"{tmp_path}/i")
+    tokens = {r.id: r for r in I.field_tokens(notes).collect()}
+    want = {(t, i, *[r[f].count(t) for f in I.FIELDS], *[len(r[f]) for f in I.FIELDS]) for i, r in tokens.items() for t in {x for f in I.FIELDS for x in r[f]}}
+    index = I.Index(spark, f"{tmp_path}/i")
+    got = index._postings.select("term", "id", *[f"{x}_{f}" for x in ("tf", "len") for f in I.FIELDS]).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert index.statistics == {"n": 45} | {f: sum(len(r[f]) for r in tokens.values()) / 45 for f in I.FIELDS} and index.frequencies(["x", "none"], "title") == {"x": 45}
+
+
+def test_nearest_compares_all_whatever_their_number(spark):
+    """Exact neighbours of 3,300 vectors, over the number up to which all were compared; ties by id, zero vectors near nothing."""
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(3300, 8)).astype(np.float32)
+    m[7], m[1200], m[5] = m[3000], m[3000], 0
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, v array<float>")
+    d = m.astype(float)
+    with np.errstate(invalid="ignore"):
+        cos = np.round(d @ d.T / np.outer(*[np.linalg.norm(d, axis=1)] * 2), 9)
+    np.fill_diagonal(cos, np.nan)
+    order = lambda i: sorted((j for j in np.flatnonzero(cos[i] >= 0.5)), key=lambda j: (-cos[i, j], j))[:3]
+    got = {(r.id, r.place): r.other for r in V.nearest(v, 8, 3, least=0.5).collect()}
+    assert got == {(i, n): j for i in range(3300) for n, j in enumerate(order(i), 1)}
+    asked = N.cosine_topk(v, v.where("id % 100 = 0").toDF("query", "q"), 3)
+    assert {(r.query, r.place): (r.id, r.cos) for r in asked.collect()} == {(i, n): (j, cos[i, j]) for i in range(0, 3300, 100) for n, j in enumerate(sorted((j for j in range(3300) if cos[i, j] > -2), key=lambda j: (-cos[i, j], j))[:3], 1)}
