@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions import vectors as V
+from tessella.operators.neighbours import cosine_topk
 
-#: Least cosine of a list, weight of the vector list, window of a blend, flatness; vectors up to which all are compared.
-FLOOR, WEIGHT, WINDOW, FLAT, BRUTE = 0.35, 1.5, 5, 0.25, 3000
+#: Least cosine of a list, weight of the vector list, window of a blend, flatness.
+FLOOR, WEIGHT, WINDOW, FLAT = 0.35, 1.5, 5, 0.25
 #: Share of each field in a note's static vector.
 SHARES = {"title": 2.0, "meta": 1.0, "summary": 2.0, "body": 1.0}
 _MASK = (1 << 64) - 1
@@ -87,26 +88,10 @@ def signs(vector: Column, dim: int) -> Column:
     return run(vector)
 
 
-def nearest(vectors: DataFrame, dim: int, k: int = 8, least: float = 0.0, bucket: int = 2000) -> DataFrame:
-    """(id, other, cos, place): each vector's k nearest of vectors(id, v), of those that share a band of eight side bits.
-
-    Up to BRUTE vectors all are compared. Buckets of more than `bucket` vectors are skipped, as common bands say little;
-    the exact way for those is neighbours.cosine_topk over a stated query set.
-    """
-    rows = vectors.select("id", V.unit(F.col("v")).alias("v"))
-    if rows.limit(BRUTE + 1).count() <= BRUTE:
-        keyed = rows.select("id", F.lit(0).alias("band"), F.lit(0).alias("key"))
-        bucket = BRUTE
-    else:
-        marks = rows.select("id", signs(F.col("v"), dim).alias("s"))
-        keyed = marks.select("id", F.posexplode(F.array(*[F.shiftright("s", 8 * b).bitwiseAND(F.lit(255)) for b in range(8)])).alias("band", "key"))
-    good = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= bucket)).select("band", "key")
-    kept = keyed.join(good, ["band", "key"], "left_semi")
-    met = kept.select("id", "band", "key").join(kept.select(F.col("id").alias("other"), "band", "key"), ["band", "key"]).where("id <> other").select("id", "other").distinct()
-    both = met.join(rows.select("id", F.col("v").alias("a")), "id").join(rows.select(F.col("id").alias("other"), F.col("v").alias("b")), "other")
-    scored = both.select("id", "other", F.round(V.dot(F.col("a"), F.col("b")), 9).alias("cos")).where(F.col("cos") >= least)
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cos"), "other"))
-    return scored.withColumn("place", place).where(F.col("place") <= k)
+def nearest(vectors: DataFrame, dim: int, k: int = 8, least: float = 0.0) -> DataFrame:
+    """(id, other, cos, place): each vector's k nearest of all vectors(id, v), at the least cosine or above; exact at any size."""
+    rows = vectors.select("id", "v").where(F.size("v") == dim)
+    return cosine_topk(rows, rows.toDF("query", "q"), k, least).select(F.col("query").alias("id"), F.col("id").alias("other"), "cos", "place")
 
 
 def _of_field(name: str) -> Callable:
