@@ -101,3 +101,38 @@ def test_nearest_compares_all_whatever_their_number(spark):
     assert got == {(i, n): j for i in range(3300) for n, j in enumerate(order(i), 1)}
     asked = N.cosine_topk(v, v.where("id % 100 = 0").toDF("query", "q"), 3)
     assert {(r.query, r.place): (r.id, r.cos) for r in asked.collect()} == {(i, n): (j, cos[i, j]) for i in range(0, 3300, 100) for n, j in enumerate(sorted((j for j in range(3300) if cos[i, j] > -2), key=lambda j: (-cos[i, j], j))[:3], 1)}
+
+
+def test_a_budget_looks_at_the_head_only(spark):
+    """Prefixes as by trying all of them, and in a time that long texts do not change."""
+    import time
+
+    from tessella.functions import text as X
+
+    texts = ["", "가" * 40, "a가" * 30, "x" * 33, "x" * 34, "가" + "x" * 200, "x" * 30 + "漢" * 9]
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    cost = lambda t: -(-sum(72 if "가" <= c <= "힣" or c == "漢" else 30 for c in t) // 100)
+    want = [max((t[:k] for k in range(len(t) + 1) if cost(t[:k]) <= 10), key=len) for t in texts]
+    assert [r[0] for r in rows.select(X.within_budget(F.col("t"), 10)).collect()] == [*want, None]
+    long = spark.range(300).select(F.repeat(F.lit("words and 단어 "), 8000).alias("t"))
+    began = time.time()
+    assert long.select(F.max(F.length(X.within_budget(F.col("t"), 200)))).first()[0] > 500
+    assert time.time() - began < 20
+
+
+def test_decision_gate_makes_no_row_a_pair(spark, monkeypatch):
+    """The rival most alike, ties to the smaller id, by all pairs; its plan joins no pairs."""
+    monkeypatch.setattr(D, "SHARE", 15)
+    rng = np.random.default_rng(11)
+    said = ["use the index", "drop the index", "keep two copies", "keep three copies of all", "", "x"]
+    rows = [(i, "decision" if i % 5 else "fact", said[rng.integers(5)], said[rng.integers(6)], "b", [t for t in "abc" if rng.random() < 0.8] or ["a"], f"s{i % 3}" if i % 13 else None, dt.date(2024, 1, 1), 1 if i % 7 == 0 else None, None, False) for i in range(80)]
+    notes = spark.createDataFrame(rows, NOTE)
+    grams = lambda r: {t[k : k + 3] for k in range(max(1, len(t) - 2))} if (t := D.normal(f"{r[2] or r[3][:40]} {r[3]}")) else set()
+    want = set()
+    for a in rows:
+        near = [(-round(len(grams(a) & grams(b)) / len(grams(a) | grams(b)), 9), b[0]) for b in rows if a[1] == b[1] == "decision" and a[0] % 4 == 1 and a[0] != b[0] and a[6] and a[6] == b[6] and b[8] is None and len({*a[5]} & {*b[5]}) >= 2 and grams(a) | grams(b)]
+        if near and min(near)[0] <= -0.04:
+            want.add((a[0], min(near)[1], -min(near)[0]))
+    got = D.decision_gate(notes.where("id % 4 = 1"), notes, "2025-02-10")
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 5
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
